@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 # White space and line ends as a browser's trim knows them.
 WHITE_SPACE = (
-    "\t\n\x0b\x0c\r           "
-    "       　﻿"
+    "\t\n\x0b\x0c\r \xa0"
+    + chr(0x1680)
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + chr(0x2028)
+    + chr(0x2029)
+    + chr(0x202F)
+    + chr(0x205F)
+    + chr(0x3000)
+    + chr(0xFEFF)
 )
 
 

@@ -88,7 +88,15 @@ def metrics_summary(logs: DataFrame, as_of: AsOf = None) -> DataFrame:
 
 def in_last_day(logs: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Calls of the last 24 hours (strict, no upper bound); prunes date partitions."""
-    start = as_of_column(as_of) - F.expr("interval 24 hours")
+    return _after(logs, as_of_column(as_of) - F.expr("interval 24 hours"))
+
+
+def in_last_hour(logs: DataFrame, as_of: AsOf = None) -> DataFrame:
+    """Calls of the last hour (strict, no upper bound); prunes date partitions."""
+    return _after(logs, as_of_column(as_of) - F.expr("interval 1 hour"))
+
+
+def _after(logs: DataFrame, start: Column) -> DataFrame:
     recent = logs.filter(F.col("created_at") > start)
     if "log_date" in logs.columns:
         recent = recent.filter(F.col("log_date") >= start.cast("date"))

@@ -10,6 +10,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callgauge.functions.redaction import preview
+
 AS_OF = datetime(2024, 1, 31)
 
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -33,8 +35,9 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(
+def messages_of(turns: DataFrame) -> DataFrame:
+    """One message per conversation turn; works on a stream as well."""
+    return turns.select(
         F.expr("conv_id * 8 + turn").alias("id"),
         F.col("conv_id").alias("conversation_id"),
         "role",
@@ -43,6 +46,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(table(spark, sf_dir, "conversations"))
+
+
 def logs_of(events: DataFrame) -> DataFrame:
     """One call log per event; works on a stream as well."""
     failed = "event_type = 'error'"
@@ -65,3 +72,228 @@ def logs_of(events: DataFrame) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_of(table(spark, sf_dir, "events"))
+
+
+def previewed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with both previews: the reply they link to, and the message before it."""
+    texts = messages(spark, sf_dir)
+    replies = texts.select(F.col("id").alias("message_id"), preview("content").alias("output_preview"))
+    asked = texts.select((F.col("id") + 1).alias("message_id"), preview("content").alias("input_preview"))
+    return (
+        logs(spark, sf_dir).join(replies, "message_id", "left").join(asked, "message_id", "left")
+    )
+
+
+def strict_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call logs as they might arrive: some break a rule of the log table."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id as id",
+        "user_id as conversation_id",
+        "case when event_type <> 'view' then user_id * 8 + event_id % 8 end as message_id",
+        "'gpt-4o-mini' as model",
+        "case when get_json_object(props, '$.k') <> '0' then 'openai' end as provider",
+        "cast(round(value * 100) as bigint) as latency_ms",
+        "case event_type when 'error' then 'error' when 'signup' then 'pending' else 'success' end as status",
+    )
+
+
+def strict_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as they might arrive: some break a rule of the message table."""
+    return messages(spark, sf_dir).selectExpr(
+        "id",
+        "conversation_id",
+        "case when id % 8 = 5 then 'tool' else role end as role",
+        "nullif(content, '') as content",
+        "created_at",
+    )
+
+
+def deleted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete requests: ids that the label table calls toxic."""
+    return table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+
+
+def deleted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete requests: ids that the label table calls low quality."""
+    return table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("id")).distinct()
+
+
+def ownership_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id as request_id", "user_id as conversation_id", "event_id % 10 as session_id"
+    )
+
+
+def replies_of(texts: DataFrame) -> DataFrame:
+    """Assistant messages: the text of every call, with the words it was streamed in."""
+    return texts.filter("role = 'assistant'").withColumn("words", F.split("content", " "))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies_of(messages(spark, sf_dir))
+
+
+PIECE_BYTES = 97
+
+
+def _pieces(texts: DataFrame, provider: str) -> DataFrame:
+    """Whole response texts cut into network pieces that ignore line and character borders."""
+    return (
+        texts.withColumn("bytes", F.encode("body", "UTF-8"))
+        .withColumn("piece", F.explode(F.expr(f"sequence(0L, (octet_length(bytes) - 1) div {PIECE_BYTES})")))
+        .select(
+            F.col("id").alias("call_id"),
+            F.lit(provider).alias("provider"),
+            "piece",
+            (F.col("created_at") + F.expr("make_dt_interval(0, 0, 0, piece * 0.005BD)")).alias("ts"),
+            "http_status",
+            F.expr(f"substring(bytes, cast(piece * {PIECE_BYTES} + 1 as int), {PIECE_BYTES})").alias("raw"),
+        )
+    )
+
+
+WORD = "concat(w, if(i < size(words) - 1, ' ', ''))"
+REFUSED = "concat('{\"error\":\"key sk-', lpad(cast(id as string), 12, '0'), ' refused\"}')"
+
+
+def openai_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant message as an OpenAI response, in every way it may end."""
+    frame = (
+        "concat('data: ', to_json(named_struct('choices', array(named_struct('delta', "
+        f"named_struct('content', {WORD}))))), '\\n\\n')"
+    )
+    body = f"""
+      case when id % 13 = 0 then {REFUSED} else concat(
+        ': connected\\ndata: {{"choices":[{{"delta":{{"role":"assistant"}}}}],"usage":null}}\\n\\n',
+        array_join(transform(words, (w, i) -> {frame}), ''),
+        case when id % 5 = 0 then 'data: {{"choices": [\\n\\ndata: [DONE]\\n\\n'
+             when id % 7 = 0 then 'data: {{"choices":[],"usage":{{"prompt_tokens":"12","completion_tokens":7.5}}}}\\n\\n'
+             when id % 11 = 0 then 'data: {{"choices":[],"usage":{{"prompt_tokens":12,"completion_tokens":7}}}}\\n'
+             when id % 3 = 0 then concat('data: {{"usage":{{"prompt_tokens":', cast(4294967296 + id as string),
+                                         ',"completion_tokens":4294967295}}}}\\r\\ndata:no space\\n\\ndata: [DONE]\\n\\n')
+             else concat('data: {{"choices":[],"usage":{{"prompt_tokens":', cast(id as string), ',"completion_tokens":',
+                         cast(size(words) as string), '}}}}\\n\\ndata: [DONE]\\n\\n',
+                         'data: {{"choices":[{{"delta":{{"content":"late"}}}}]}}\\n\\n')
+        end) end"""
+    texts = replies(spark, sf_dir).selectExpr(
+        "id", "created_at", "if(id % 13 = 0, 429, 200) as http_status", f"{body} as body"
+    )
+    return _pieces(texts, "openai")
+
+
+def gemini_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant message as a Gemini response, in every way it may end."""
+    frame = (
+        "concat('data: ', to_json(named_struct('candidates', array(named_struct('content', "
+        f"named_struct('parts', array(named_struct('text', {WORD}), named_struct('text', 'unread'))))))), '\\r\\n\\r\\n')"
+    )
+    usage = (
+        "concat('{{\"promptTokenCount\":', cast(id as string), ',\"candidatesTokenCount\":', "
+        "cast(size(words) as string), '}}')"
+    ).replace("{{", "{").replace("}}", "}")
+    body = f"""
+      case when id % 13 = 0 then {REFUSED} else concat(
+        array_join(transform(words, (w, i) -> {frame}), ''),
+        case when id % 5 = 0 then concat('data: {{"candidates":[{{"content":{{"parts":[{{"text":"last"}}]}},',
+                                         '"finishReason":"STOP"}}],"usageMetadata":', {usage},
+                                         ',"error":{{"code":500}}}}\\r\\n\\r\\ndata: {{"error":null}}\\r\\n\\r\\n')
+             when id % 7 = 0 then 'data: {{"error":{{"message":"quota"}}}}\\r\\n\\r\\ndata: {{broken\\r\\n\\r\\n'
+             when id % 11 = 0 then 'data: {{"candidates":[{{"finishReason":"SAFETY"}}]}}\\r\\n\\r\\n'
+             when id % 3 = 0 then 'data: {{broken\\r\\n\\r\\n'
+             else concat('data: {{"candidates":[{{"finishReason":"STOP"}}],"usageMetadata":', {usage}, '}}\\r\\n\\r\\n')
+        end) end"""
+    texts = replies(spark, sf_dir).selectExpr(
+        "id", "created_at", "if(id % 13 = 0, 503, 200) as http_status", f"{body} as body"
+    )
+    return _pieces(texts, "gemini")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call per assistant message; its input is the message before."""
+    texts = messages(spark, sf_dir)
+    asked = texts.select((F.col("id") + 1).alias("id"), F.col("content").alias("input_text"))
+    return (
+        replies(spark, sf_dir)
+        .join(asked, "id", "left")
+        .selectExpr(
+            "id as call_id",
+            "conversation_id",
+            "id as message_id",
+            "case when id % 3 = 0 then 'openai' else 'gemini' end as provider",
+            "case when id % 3 = 0 then 'gpt-4o-mini' else 'gemini-3.1-flash-lite' end as model",
+            "created_at as start_ts",
+            "input_text",
+        )
+    )
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks_of(replies(spark, sf_dir))
+
+
+def chunks_of(answers: DataFrame) -> DataFrame:
+    """Every assistant message as chunk rows: word n is chunk 2n, ends are odd or after.
+
+    id % 13 = 0 fails at once, id % 5 = 0 fails after the text (and one more token
+    comes after that), id % 11 = 0 just stops, id % 7 = 0 has a done half-way too.
+    """
+    done = "named_struct('seq', {seq}, 'type', 'done', 'content', cast(null as string), 'input_tokens', {i}, 'output_tokens', {o}, 'error_msg', cast(null as string))"
+    other = "named_struct('seq', {seq}, 'type', '{kind}', 'content', {content}, 'input_tokens', cast(null as int), 'output_tokens', cast(null as int), 'error_msg', {error})"
+    null_text = "cast(null as string)"
+    n = "cast(size(words) as bigint)"
+    refused = "concat('provider returned 429: key sk-', lpad(cast(id as string), 12, '0'), ' refused')"
+    tokens = f"transform(words, (w, i) -> {other.format(seq='cast(i as bigint) * 2', kind='token', content=WORD, error=null_text)})"
+    half = done.format(seq=f"2 * ({n} div 2) + 1", i="cast(null as int)", o="cast(1 as int)")
+    last = done.format(seq=f"2 * {n}", i="cast(id as int)", o="cast(size(words) as int)")
+    malformed = "'malformed stream chunk: mail ops@example.org'"
+    failed = other.format(seq=f"2 * {n} + 1", kind="error", content=null_text, error=malformed)
+    late = other.format(seq=f"2 * {n} + 2", kind="token", content="'late'", error=null_text)
+    at_once = other.format(seq="0L", kind="call_error", content=null_text, error=refused)
+    rows = f"""
+      case when id % 13 = 0 then array({at_once}) else concat(
+        {tokens},
+        if(id % 7 = 0, array({half}), array()),
+        case when id % 5 = 0 then array({failed}, {late}) when id % 11 = 0 then array() else array({last}) end) end"""
+    return (
+        answers.select(F.col("id").alias("call_id"), "created_at", F.explode(F.expr(rows)).alias("c"))
+        .select(
+            "call_id",
+            "c.seq",
+            F.expr("created_at + make_dt_interval(0, 0, 0, c.seq * 0.037BD)").alias("ts"),
+            "c.type",
+            "c.content",
+            "c.input_tokens",
+            "c.output_tokens",
+            "c.error_msg",
+        )
+    )
+
+
+def event_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a chat client receives for the chunk rows, as network pieces.
+
+    The events of a call are written one after another; after them, calls with
+    id % 3 = 0 get an end marker and one more event, which does not count.
+    """
+    from callgauge.operators.events import chat_events_json
+    from callgauge.operators.ordered import joined_text
+
+    events = chat_events_json(chunks(spark, sf_dir), calls(spark, sf_dir)).withColumn(
+        "frame", F.concat(F.lit("data: "), "event", F.lit("\n\n"))
+    )
+    tail = "if(call_id % 3 = 0, 'data: [DONE]\\n\\ndata: {\"content\":\"late\",\"type\":\"token\"}\\n\\n', '')"
+    texts = joined_text(events, ["call_id"], "seq", "frame", "frames").select(
+        F.col("call_id").alias("id"),
+        F.expr(EPOCH).alias("created_at"),
+        F.lit(200).alias("http_status"),
+        F.concat("frames", F.expr(tail)).alias("body"),
+    )
+    return _pieces(texts, "app")
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A given table as a file stream; ``max_files`` bounds what one trigger takes in."""
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}*.parquet")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(sf_dir)
