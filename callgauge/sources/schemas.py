@@ -1,4 +1,4 @@
-"""Schemas of the stored tables and of the rows in flight.
+"""Schemas of the stored tables and of the rows in flight, as DDL for a reader.
 
 Identifiers are strings in production tables. The operators never look inside
 them, so any orderable key type works.
@@ -6,31 +6,24 @@ them, so any orderable key type works.
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-CONVERSATIONS = _struct(
+CONVERSATIONS = (
     "id STRING NOT NULL, session_id STRING NOT NULL, title STRING NOT NULL, "
     "created_at TIMESTAMP_NTZ NOT NULL, updated_at TIMESTAMP_NTZ NOT NULL"
 )
 
-MESSAGES = _struct(
+MESSAGES = (
     "id STRING NOT NULL, conversation_id STRING NOT NULL, role STRING NOT NULL, "
     "content STRING NOT NULL, created_at TIMESTAMP_NTZ NOT NULL"
 )
 
 # One finished call as it leaves the fold: no id and no created_at yet.
-LOG_EVENTS = _struct(
+LOG_EVENTS = (
     "conversation_id STRING NOT NULL, message_id STRING, model STRING NOT NULL, "
     "provider STRING NOT NULL, latency_ms BIGINT NOT NULL, input_tokens INT, output_tokens INT, "
     "status STRING NOT NULL, error_msg STRING, input_preview STRING, output_preview STRING"
 )
 
-INFERENCE_LOGS = _struct(
+INFERENCE_LOGS = (
     "id STRING NOT NULL, conversation_id STRING NOT NULL, message_id STRING, model STRING NOT NULL, "
     "provider STRING NOT NULL, latency_ms BIGINT NOT NULL, input_tokens INT, output_tokens INT, "
     "status STRING NOT NULL, error_msg STRING, input_preview STRING, output_preview STRING, "
@@ -38,18 +31,18 @@ INFERENCE_LOGS = _struct(
 )
 
 # Bytes as they came from a provider, one row per network piece.
-RAW_CAPTURES = _struct(
+RAW_CAPTURES = (
     "call_id STRING NOT NULL, provider STRING NOT NULL, piece BIGINT NOT NULL, "
     "ts TIMESTAMP_NTZ, http_status INT, raw BINARY"
 )
 
 # type is one of: token, done, error, call_error.
-CHUNKS = _struct(
+CHUNKS = (
     "call_id STRING NOT NULL, seq BIGINT NOT NULL, ts TIMESTAMP_NTZ, type STRING NOT NULL, "
     "content STRING, input_tokens INT, output_tokens INT, error_msg STRING"
 )
 
-CALLS = _struct(
+CALLS = (
     "call_id STRING NOT NULL, conversation_id STRING NOT NULL, message_id STRING, "
     "provider STRING NOT NULL, model STRING NOT NULL, start_ts TIMESTAMP_NTZ NOT NULL, input_text STRING"
 )

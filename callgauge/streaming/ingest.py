@@ -29,7 +29,7 @@ def start_ingest(
     """Store every event with the reason it was refused, if it was.
 
     A bad row never stops the stream: it lands next to the good ones, under
-    stored=false. ``owners`` reads conversations and messages anew for each batch.
+    outcome=refused. ``owners`` reads conversations and messages anew for each batch.
     A batch is written in one pass, and a repeated batch replaces its own folder.
     """
 
@@ -41,21 +41,21 @@ def start_ingest(
             *EVENT_COLUMNS,
             at.alias("created_at"),
             "reason",
-            F.col("reason").isNull().alias("stored"),
+            F.when(F.col("reason").isNull(), "stored").otherwise("refused").alias("outcome"),
             at.cast("date").alias("log_date"),
         )
         folder = f"{path}/batch_id={batch_id}"
-        rows.write.mode("overwrite").partitionBy("stored", "log_date").parquet(folder)
+        rows.write.mode("overwrite").partitionBy("outcome", "log_date").parquet(folder)
 
     writer = events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).start()
 
 
 def ingested(spark: SparkSession, path: str) -> DataFrame:
-    """Everything the stream wrote, with ``reason`` and ``stored``."""
+    """Everything the stream wrote, with ``reason`` and ``outcome``."""
     return spark.read.parquet(path)
 
 
 def stored_logs(spark: SparkSession, path: str) -> DataFrame:
     """The log table; filters on log_date skip folders."""
-    return ingested(spark, path).filter(F.col("stored")).drop("reason", "stored", "batch_id")
+    return ingested(spark, path).filter(F.col("outcome") == "stored").drop("reason", "outcome", "batch_id")
