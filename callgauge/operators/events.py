@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.operators.fold import live_chunks
-from callgauge.operators.frames import END_OF_STREAM, capture_lines, data_lines
-from callgauge.operators.ordered import joined_text
+from callgauge.operators.frames import END_OF_STREAM, data_lines
+from callgauge.operators.ordered import both, in_order, joined_text
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -43,22 +43,27 @@ def chat_events_parse(captures: DataFrame) -> DataFrame:
         return lines.withColumn("json", F.try_parse_json("data"))
 
     broken = F.col("data").isNotNull() & F.col("json").isNull()
-    rows = data_lines(capture_lines(captures), parse, broken)
+    short, long = data_lines(captures, parse, broken)
+    last_error = F.max_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).alias("error")
+    if short is not None:
+        # Lines are in place by call already, so this grouping moves nothing.
+        short = _read(short).groupBy("call_id").agg(in_order("line", "content").alias("content"), last_error)
+    if long is not None:
+        read = _read(long)
+        contents = joined_text(read, ["call_id"], "line", "content", "content")
+        long = contents.join(read.groupBy("call_id").agg(last_error), "call_id")
+    return both(short, long)
 
+
+def _read(lines: DataFrame) -> DataFrame:
     def text(path: str) -> Column:
         return F.try_variant_get("json", path, "string")
 
-    events = rows.filter(F.col("data") != END_OF_STREAM).select(
+    return lines.filter(F.col("data") != END_OF_STREAM).select(
         "call_id",
         "line",
-        text("$.type").alias("type"),
         F.when(text("$.type") == "token", text("$.content")).alias("content"),
         F.when(F.col("json").isNull(), "malformed event")
         .when(text("$.type") == "error", text("$.message"))
         .alias("error"),
     )
-    errors = events.groupBy("call_id").agg(
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).alias("error")
-    )
-    contents = joined_text(events, ["call_id"], "line", "content", "content")
-    return contents.join(errors, "call_id").select("call_id", "content", "error")

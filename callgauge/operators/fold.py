@@ -2,8 +2,8 @@
 
 Rules: tokens add up; every done gives a success row with the text so far; the
 first error gives an error row, with the latest usage before it, and ends the
-call; a call that only stops gives no row. Chunks move by (call, block of
-sequence numbers); see ``ordered``.
+call; a call that only stops gives no row. How chunks of short and of very long calls
+move is told in ``ordered``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from callgauge.functions.redaction import preview, redact
 from callgauge.functions.times import elapsed_ms
-from callgauge.operators.ordered import block_of, in_order
+from callgauge.operators.ordered import block_of, both, by_size, in_order
 
 FAILURES = ("error", "call_error")
 
@@ -27,64 +27,97 @@ def _usage():
     return F.when(F.col("type") == "done", F.struct("input_tokens", "output_tokens"))
 
 
-def live_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks up to and including the first failure of their call.
+def _failed_at():
+    return F.when(F.col("type").isin(*FAILURES), F.col("seq"))
+
+
+def _not_past_failure():
+    return F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop"))
+
+
+CALL = ["call_id"]
+EARLIER = (Window.unboundedPreceding, -1)
+SO_FAR = (Window.unboundedPreceding, 0)
+
+
+def _ends_before(window):
+    return F.coalesce(F.sum(_is_end().cast("bigint")).over(window.rowsBetween(*EARLIER)), F.lit(0))
+
+
+def _latest_usage(window):
+    return F.last(_usage(), ignorenulls=True).over(window.rowsBetween(*SO_FAR))
+
+
+def _live_short(chunks: DataFrame) -> DataFrame:
+    """Chunks of short calls up to their first failure: one shuffle by call."""
+    return chunks.withColumn("_stop", F.min(_failed_at()).over(Window.partitionBy(*CALL))).filter(_not_past_failure())
 
-    Adds ``block``, ``_ends_before`` and ``_usage_before``: ends of the call and its
-    latest usage in earlier blocks.
+
+def _live_long(chunks: DataFrame) -> DataFrame:
+    """The same for long calls, by (call, block).
+
+    Adds ``block``, and the ends of the call and its latest usage in earlier blocks.
     """
     rows = chunks.withColumn("block", block_of("seq"))
-    along = Window.partitionBy("call_id").orderBy("block")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("call_id")
+    earlier = Window.partitionBy(*CALL).orderBy("block").rowsBetween(*EARLIER)
     carried = (
         rows.groupBy("call_id", "block")
         .agg(
-            F.min(F.when(F.col("type").isin(*FAILURES), F.col("seq"))).alias("_stop"),
+            F.min(_failed_at()).alias("_stop"),
             F.count_if(_is_end()).alias("_ends"),
             F.max_by(_usage(), F.when(F.col("type") == "done", F.col("seq"))).alias("_usage"),
         )
         .select(
             "call_id",
             "block",
-            F.min("_stop").over(whole).alias("_stop"),
-            F.coalesce(F.sum("_ends").over(earlier), F.lit(0)).alias("_ends_before"),
-            F.last("_usage", ignorenulls=True).over(earlier).alias("_usage_before"),
+            F.min("_stop").over(Window.partitionBy(*CALL)).alias("_stop"),
+            F.coalesce(F.sum("_ends").over(earlier), F.lit(0)).alias("_earlier_ends"),
+            F.last("_usage", ignorenulls=True).over(earlier).alias("_earlier_usage"),
         )
         .filter(F.col("_stop").isNull() | (F.col("block") <= block_of("_stop")))
     )
-    return (
-        rows.join(carried, ["call_id", "block"])
-        .filter(F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop")))
-        .drop("_stop")
-    )
-
+    return rows.join(carried, ["call_id", "block"]).filter(_not_past_failure())
 
-def call_outcomes(chunks: DataFrame, include_abandoned: bool = False) -> DataFrame:
-    """One row per end of a call: (call_id, seq, type, ts, usage, error_msg, text).
 
-    ``text`` is the whole text before that end. With ``include_abandoned``, calls
-    without any end give a row of type 'abandoned'.
-    """
-    live = live_chunks(chunks)
-    in_block = Window.partitionBy("call_id", "block").orderBy("seq")
-    ends = F.sum(_is_end().cast("bigint")).over(in_block.rowsBetween(Window.unboundedPreceding, -1))
-    usage = F.last(_usage(), ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = live.withColumn("part", F.col("_ends_before") + F.coalesce(ends, F.lit(0))).withColumn(
-        "_usage", F.coalesce(usage, F.col("_usage_before"))
-    )
-    end = F.struct(
-        "seq", "type", "ts", "_usage.input_tokens", "_usage.output_tokens", "error_msg"
-    )
-    # A part is the tokens up to an end, and that end.
-    blocks = numbered.groupBy("call_id", "block", "part").agg(
+def live_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks up to and including the first failure of their call."""
+    short, long = by_size(chunks, "call_id", "seq")
+    if short is not None:
+        short = _live_short(short).select(*chunks.columns)
+    if long is not None:
+        long = _live_long(long).select(*chunks.columns)
+    return both(short, long)
+
+
+def _part_aggregates() -> list:
+    """A part is the tokens up to an end, and that end."""
+    end = F.struct("seq", "type", "ts", "_usage.input_tokens", "_usage.output_tokens", "error_msg")
+    return [
         in_order("seq", F.when(F.col("type") == "token", F.col("content"))).alias("_text"),
         F.max_by(F.when(_is_end(), end), F.when(_is_end(), F.col("seq"))).alias("_end"),
         F.max("seq").alias("_seq"),
         F.max("ts").alias("_ts"),
+    ]
+
+
+def _short_parts(chunks: DataFrame) -> DataFrame:
+    in_call = Window.partitionBy(*CALL).orderBy("seq")
+    numbered = _live_short(
+        chunks.withColumn("part", _ends_before(in_call)).withColumn("_usage", _latest_usage(in_call))
     )
-    parts = (
-        blocks.repartition("call_id")
+    return numbered.groupBy("call_id", "part").agg(*_part_aggregates())
+
+
+def _long_parts(chunks: DataFrame) -> DataFrame:
+    in_block = Window.partitionBy("call_id", "block").orderBy("seq")
+    numbered = (
+        _live_long(chunks)
+        .withColumn("part", F.col("_earlier_ends") + _ends_before(in_block))
+        .withColumn("_usage", F.coalesce(_latest_usage(in_block), "_earlier_usage"))
+    )
+    blocks = numbered.groupBy("call_id", "block", "part").agg(*_part_aggregates())
+    return (
+        blocks.repartition(*CALL)
         .groupBy("call_id", "part")
         .agg(
             in_order("block", "_text").alias("_text"),
@@ -93,7 +126,10 @@ def call_outcomes(chunks: DataFrame, include_abandoned: bool = False) -> DataFra
             F.max("_ts").alias("_ts"),
         )
     )
-    so_far = Window.partitionBy("call_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _outcomes(parts: DataFrame, include_abandoned: bool) -> DataFrame:
+    so_far = Window.partitionBy(*CALL).orderBy("part").rowsBetween(*SO_FAR)
     whole = parts.withColumn("text", F.array_join(F.collect_list("_text").over(so_far), ""))
     ended = F.col("_end").isNotNull()
     keep = ended | (F.col("part") == 0) if include_abandoned else ended
@@ -109,6 +145,20 @@ def call_outcomes(chunks: DataFrame, include_abandoned: bool = False) -> DataFra
     )
 
 
+def call_outcomes(chunks: DataFrame, include_abandoned: bool = False) -> DataFrame:
+    """One row per end of a call: (call_id, seq, type, ts, usage, error_msg, text).
+
+    ``text`` is the whole text before that end. With ``include_abandoned``, calls
+    without any end give a row of type 'abandoned'.
+    """
+    short, long = by_size(chunks, "call_id", "seq")
+    if short is not None:
+        short = _outcomes(_short_parts(short), include_abandoned)
+    if long is not None:
+        long = _outcomes(_long_parts(long), include_abandoned)
+    return both(short, long)
+
+
 def fold_calls(calls: DataFrame, chunks: DataFrame, include_abandoned: bool = False) -> DataFrame:
     """Call log events, previews and error texts redacted."""
     outcomes = call_outcomes(chunks, include_abandoned)

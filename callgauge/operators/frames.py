@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgauge.functions.text import error_text
-from callgauge.operators.ordered import block_of, blocks_up_to, in_order, joined_text
+from callgauge.operators.ordered import block_of, blocks_up_to, both, by_size, in_order, joined_text
 
 DATA = "data: "
 END_OF_STREAM = "[DONE]"
@@ -29,84 +29,125 @@ def _text(latin: Column) -> Column:
     return F.make_valid_utf8(F.encode(latin, BYTES).cast("string"))
 
 
-def capture_lines(captures: DataFrame, drop_returns: bool = False) -> DataFrame:
-    """Lines of every call, numbered from 0: (call_id, block, line, ts, text, ended).
-
-    A line may start in one piece and end in a later one. Pieces are numbered by
-    the line breaks before them, counted within blocks of pieces and carried over
-    as one sum per block; fragments then meet by (call, line).
-    """
+def _pieces(captures: DataFrame, drop_returns: bool) -> DataFrame:
     latin = F.decode("raw", BYTES)
     if drop_returns:
         latin = F.replace(latin, F.lit("\r"), F.lit(""))
-    pieces = captures.select("call_id", "piece", "ts", latin.alias("bytes"), block_of("piece").alias("_pieces"))
-    breaks = F.length("bytes") - F.length(F.replace("bytes", F.lit("\n"), F.lit("")))
-    earlier_blocks = (
-        Window.partitionBy("call_id").orderBy("_pieces").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        pieces.groupBy("call_id", "_pieces")
-        .agg(F.sum(breaks).alias("_breaks"))
-        .select("call_id", "_pieces", F.coalesce(F.sum("_breaks").over(earlier_blocks), F.lit(0)).alias("_before"))
-    )
-    earlier = Window.partitionBy("call_id", "_pieces").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    first_line = F.col("_before") + F.coalesce(F.sum(breaks).over(earlier), F.lit(0))
-    fragments = (
-        pieces.join(carried, ["call_id", "_pieces"])
-        .withColumn("_first", first_line)
-        .withColumn("_fragments", F.split("bytes", "\n"))
-        .select(
-            "call_id",
-            "piece",
-            "ts",
-            "_first",
-            F.size("_fragments").alias("_n"),
-            F.posexplode("_fragments").alias("_pos", "bytes"),
-        )
+    return captures.select("call_id", "piece", "ts", latin.alias("bytes"), block_of("piece").alias("_pieces"))
+
+
+def _breaks() -> Column:
+    return F.length("bytes") - F.length(F.replace("bytes", F.lit("\n"), F.lit("")))
+
+
+def _fragments(pieces: DataFrame) -> DataFrame:
+    """Parts of lines, from pieces that know the line they start in (``_first``)."""
+    return (
+        pieces.withColumn("_split", F.split("bytes", "\n"))
+        .select("call_id", "piece", "ts", "_first", F.size("_split").alias("_n"), F.posexplode("_split").alias("_pos", "bytes"))
         .select(
             "call_id",
             "piece",
             "ts",
             (F.col("_first") + F.col("_pos")).alias("line"),
-            (F.col("_pos") < F.col("_n") - 1).alias("_last"),
+            (F.col("_pos") < F.col("_n") - 1).alias("_ended"),
             "bytes",
         )
-        .withColumn("block", block_of("line"))
     )
-    return (
-        fragments.repartition("call_id", "block")
-        .groupBy("call_id", "block", "line")
-        .agg(
-            F.max("ts").alias("ts"),
-            _text(in_order("piece", "bytes")).alias("text"),
-            F.max("_last").alias("ended"),
-        )
+
+
+def _assembled(fragments: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole lines: fragments of one line in order of their pieces."""
+    return fragments.groupBy(*keys, "line").agg(
+        F.max("ts").alias("ts"),
+        _text(in_order("piece", "bytes")).alias("text"),
+        F.max("_ended").alias("ended"),
+    )
+
+
+EARLIER = (Window.unboundedPreceding, -1)
+
+
+def short_call_lines(captures: DataFrame, drop_returns: bool = False) -> DataFrame:
+    """Lines of short calls, numbered from 0: (call_id, line, ts, text, ended).
+
+    A line may start in one piece and end in a later one. Pieces are numbered by
+    the line breaks before them, and fragments meet by line. One shuffle by call.
+    """
+    earlier = Window.partitionBy("call_id").orderBy("piece").rowsBetween(*EARLIER)
+    pieces = _pieces(captures, drop_returns).withColumn(
+        "_first", F.coalesce(F.sum(_breaks()).over(earlier), F.lit(0))
     )
+    return _assembled(_fragments(pieces), ["call_id"])
 
 
-def data_lines(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], stop: Column) -> DataFrame:
-    """Data lines that count, parsed: up to the last blank line and the first stop.
+def long_call_lines(captures: DataFrame, drop_returns: bool = False) -> DataFrame:
+    """The same for long calls, plus ``block``: lines are spread by (call, block).
 
-    Each call's limit is found by a map-side minimum and maximum and handed to
-    its blocks, so the lines stay where they are.
+    Line breaks are counted within blocks of pieces and carried over as one sum
+    per block.
     """
+    pieces = _pieces(captures, drop_returns)
+    earlier_blocks = Window.partitionBy("call_id").orderBy("_pieces").rowsBetween(*EARLIER)
+    carried = (
+        pieces.groupBy("call_id", "_pieces")
+        .agg(F.sum(_breaks()).alias("_breaks"))
+        .select("call_id", "_pieces", F.coalesce(F.sum("_breaks").over(earlier_blocks), F.lit(0)).alias("_before"))
+    )
+    earlier = Window.partitionBy("call_id", "_pieces").orderBy("piece").rowsBetween(*EARLIER)
+    first = F.col("_before") + F.coalesce(F.sum(_breaks()).over(earlier), F.lit(0))
+    numbered = pieces.join(carried, ["call_id", "_pieces"]).withColumn("_first", first)
+    fragments = _fragments(numbered).withColumn("block", block_of("line"))
+    return _assembled(fragments.repartition("call_id", "block"), ["call_id", "block"])
+
+
+def _with_data(lines: DataFrame) -> DataFrame:
     has_data = F.startswith("text", F.lit(DATA))
-    parsed = parse(lines.withColumn("data", F.when(has_data, F.substr("text", F.lit(len(DATA) + 1)))))
-    limits = (
-        parsed.groupBy("call_id")
-        .agg(
-            F.max(F.when(F.col("ended") & (F.col("text") == ""), F.col("line"))).alias("_blank"),
-            F.min(F.when(stop, F.col("line"))).alias("_stop"),
+    return lines.withColumn("data", F.when(has_data, F.substr("text", F.lit(len(DATA) + 1))))
+
+
+def _blank() -> Column:
+    return F.when(F.col("ended") & (F.col("text") == ""), F.col("line"))
+
+
+def data_lines(
+    captures: DataFrame,
+    parse: Callable[[DataFrame], DataFrame],
+    stop: Column,
+    drop_returns: bool = False,
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Data lines that count, of short and of long calls.
+
+    A line counts up to the last blank line of its call and up to the first stop.
+    ``parse`` adds the columns that ``stop`` needs.
+    """
+    short, long = by_size(captures, "call_id", "piece")
+    counts = F.col("data").isNotNull() & (F.col("line") <= F.col("_limit"))
+    if short is not None:
+        call = Window.partitionBy("call_id")
+        last_blank = F.max(_blank()).over(call)
+        first_stop = F.min(F.when(stop, F.col("line"))).over(call)
+        short = (
+            parse(_with_data(short_call_lines(short, drop_returns)))
+            .withColumn("_blank", last_blank)
+            .withColumn("_stop", first_stop)
+            .filter(F.col("_blank").isNotNull())
+            .withColumn("_limit", F.least("_blank", "_stop"))
+            .filter(counts)
+            .drop("_blank", "_stop", "_limit", "ended")
         )
-        .filter(F.col("_blank").isNotNull())
-        .select("call_id", F.least("_blank", "_stop").alias("_limit"))
-        .select("call_id", "_limit", blocks_up_to("_limit").alias("block"))
-    )
-    return (
-        parsed.filter(F.col("data").isNotNull())
-        .join(limits, ["call_id", "block"])
-        .filter(F.col("line") <= F.col("_limit"))
-    )
+    if long is not None:
+        # The limit of a call is handed to its blocks, so the lines stay in place.
+        lines = parse(_with_data(long_call_lines(long, drop_returns)))
+        limits = (
+            lines.groupBy("call_id")
+            .agg(F.max(_blank()).alias("_blank"), F.min(F.when(stop, F.col("line"))).alias("_stop"))
+            .filter(F.col("_blank").isNotNull())
+            .select("call_id", F.least("_blank", "_stop").alias("_limit"))
+            .select("call_id", "_limit", blocks_up_to("_limit").alias("block"))
+        )
+        long = lines.join(limits, ["call_id", "block"]).filter(counts).drop("block", "_limit", "ended")
+    return short, long
 
 
 def _part(path: str) -> Column:
@@ -195,10 +236,10 @@ def frames_openai(captures: DataFrame) -> DataFrame:
 
     def parse(lines: DataFrame) -> DataFrame:
         # A return before the line feed is not part of the line.
-        return _with_json(lines.withColumn("data", F.regexp_replace("data", r"\r\z", "")))
+        return lines.withColumn("data", F.regexp_replace("data", r"\r\z", ""))
 
-    rows = data_lines(capture_lines(_answered(captures)), parse, F.col("data") == END_OF_STREAM)
-    rows = rows.filter(F.col("data") != END_OF_STREAM)
+    rows = both(*data_lines(_answered(captures), parse, F.col("data") == END_OF_STREAM))
+    rows = _with_json(rows.filter(F.col("data") != END_OF_STREAM))
     usage = _part("$.usage")
     has_usage = usage.isNotNull() & ~F.is_variant_null(usage)
     token = _string_at("$.choices[0].delta.content")
@@ -224,7 +265,7 @@ def frames_gemini(captures: DataFrame) -> DataFrame:
     One line may give a token, the end of the call and an error, in this order.
     """
     failure = _part("$.error")
-    rows = data_lines(capture_lines(_answered(captures), drop_returns=True), _with_json, failure.isNotNull())
+    rows = both(*data_lines(_answered(captures), _with_json, failure.isNotNull(), drop_returns=True))
     token = _string_at("$.candidates[0].content.parts[0].text")
     finished = _string_at("$.candidates[0].finishReason").isNotNull() & _part("$.usageMetadata").isNotNull()
     message = F.coalesce(_string_at("$.error.message"), F.lit("unknown gemini error"))
