@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgauge.functions.text import error_text
-from callgauge.operators.ordered import block_of, blocks_up_to, both, by_size, in_order, joined_text
+from callgauge.operators.ordered import block_of, blocks_up_to, both, by_size, in_order
 
 DATA = "data: "
 END_OF_STREAM = "[DONE]"
@@ -209,8 +209,13 @@ def _exploded(rows: DataFrame, chunks: list[Column]) -> DataFrame:
 def failed_requests(captures: DataFrame) -> DataFrame:
     """One call_error chunk per call whose HTTP status is not 2xx, with its whole body."""
     failed = captures.filter(~F.col("http_status").between(200, 299)).withColumn("_bytes", F.decode("raw", BYTES))
-    times = failed.groupBy("call_id").agg(F.max("ts").alias("ts"))
-    bodies = joined_text(failed, ["call_id", "http_status"], "piece", "_bytes", "_body").join(times, "call_id")
+    keys = ["call_id", "http_status"]
+    bodies = (
+        failed.groupBy(*keys, block_of("piece").alias("_block"))
+        .agg(in_order("piece", "_bytes").alias("_part"), F.max("ts").alias("ts"))
+        .groupBy(*keys)
+        .agg(in_order("_block", "_part").alias("_body"), F.max("ts").alias("ts"))
+    )
     return bodies.select(
         "call_id",
         F.lit(0).cast("bigint").alias("seq"),

@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts take work per row.
+
+    One that is a single file (only a small one is) would be read by a single task,
+    so its rows are dealt out to all cores first. A larger table is read as it lies.
+    """
+    rows = table(spark, sf_dir, name)
+    if len(rows.inputFiles()) == 1:
+        return rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "conversations")
@@ -130,7 +142,7 @@ def replies_of(texts: DataFrame) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replies_of(messages(spark, sf_dir))
+    return replies_of(messages_of(text_table(spark, sf_dir, "conversations")))
 
 
 PIECE_BYTES = 97

@@ -14,7 +14,7 @@ from callgauge.functions.times import iso_utc
 from callgauge.operators import conversations as conv
 from callgauge.operators import events, fold, frames, integrity, metrics, prompts
 from callgauge.plans import inputs
-from callgauge.plans.inputs import AS_OF, table
+from callgauge.plans.inputs import AS_OF, table, text_table
 from callgauge.sources import sinks
 from callgauge.sources.workspace import run_folder
 from callgauge.streaming import calls as call_stream
@@ -75,10 +75,10 @@ def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select(
+    documents = text_table(spark, sf_dir, "documents").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"
     )
-    pages = table(spark, sf_dir, "pages").select(
+    pages = text_table(spark, sf_dir, "pages").select(
         F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")
     )
     return documents.unionByName(pages).select("kind", "id", redact("text").alias("text"))

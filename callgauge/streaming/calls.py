@@ -39,6 +39,8 @@ def start_fold(
         waiting = snapshots.previous(spark, f"{path}/open", batch_id)
         if waiting is not None:
             rows = waiting.unionByName(rows)
+        # Kept for the passes below; a lost block is read again from source and table.
+        rows = rows.persist()
         newest = rows.agg(F.max("ts"))
         quiet_calls = (
             rows.groupBy("call_id")
@@ -49,6 +51,7 @@ def start_fold(
         closing = rows.join(quiet_calls, "call_id", "left_semi")
         write_batch(fold_calls(calls(spark), closing), f"{path}/logs", batch_id)
         snapshots.save(rows.join(quiet_calls, "call_id", "left_anti"), f"{path}/open", batch_id)
+        rows.unpersist()
 
     writer = chunks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).start()
