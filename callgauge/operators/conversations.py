@@ -27,49 +27,70 @@ def last_n_messages(messages: DataFrame, n: int = PROMPT_MESSAGES, key: str = "c
     return messages.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def conversation_titles(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """Conversations with their title settled.
-
-    The first user message replaces the default title. One that reads like the
-    default leaves it open for the next.
-    """
+def _typed(messages: DataFrame) -> DataFrame:
+    """Per conversation the first user text that can be a title, and the last user message."""
     start = F.substring("content", 1, TITLE_CHARS)
-    first = (
-        messages.filter((F.col("role") == "user") & (start != DEFAULT_TITLE))
+    titled = F.when(start != DEFAULT_TITLE, F.struct("created_at", "id"))
+    return (
+        messages.filter(F.col("role") == "user")
         .groupBy(F.col("conversation_id").alias("id"))
-        .agg(F.min_by(start, F.struct("created_at", "id")).alias("_first"))
+        .agg(F.min_by(start, titled).alias("_first"), F.max("created_at").alias("_typed"))
     )
-    settled = F.when(F.col("title") == DEFAULT_TITLE, F.coalesce("_first", "title")).otherwise(F.col("title"))
-    return conversations.join(first, "id", "left").withColumn("title", settled).drop("_first")
 
 
-def conversation_activity(conversations: DataFrame, messages: DataFrame, logs: DataFrame) -> DataFrame:
-    """Conversations with ``updated_at``: the last user message or finished, non-empty reply.
+def _replied(messages: DataFrame, logs: DataFrame) -> DataFrame:
+    """Per conversation the time its last non-empty reply was finished.
 
-    When a reply was finished is the time of the successful call that wrote it.
-    Calls are reduced to one row per message before they meet the messages.
+    That is the time of the successful call that wrote it. Calls are reduced to one
+    row per message before they meet the messages.
     """
     finished = (
         logs.filter((F.col("status") == "success") & F.col("message_id").isNotNull())
         .groupBy(F.col("message_id").alias("id"))
         .agg(F.max("created_at").alias("_finished"))
     )
-    replies = (
+    return (
         messages.filter((F.col("role") == "assistant") & (F.col("content") != ""))
         .select("id", "conversation_id")
         .join(finished, "id")
-        .select("conversation_id", F.col("_finished").alias("_touched"))
-    )
-    typed = messages.filter(F.col("role") == "user").select("conversation_id", F.col("created_at").alias("_touched"))
-    touched = (
-        typed.unionByName(replies)
         .groupBy(F.col("conversation_id").alias("id"))
-        .agg(F.max("_touched").alias("_touched"))
+        .agg(F.max("_finished").alias("_replied"))
     )
+
+
+def _settled_title() -> Column:
+    return F.when(F.col("title") == DEFAULT_TITLE, F.coalesce("_first", "title")).otherwise(F.col("title"))
+
+
+def conversation_titles(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """Conversations with their title settled.
+
+    The first user message replaces the default title. One that reads like the
+    default leaves it open for the next.
+    """
+    typed = _typed(messages).select("id", "_first")
+    return conversations.join(typed, "id", "left").withColumn("title", _settled_title()).drop("_first")
+
+
+def conversation_activity(conversations: DataFrame, messages: DataFrame, logs: DataFrame) -> DataFrame:
+    """Conversations with ``updated_at``: the last user message or finished, non-empty reply."""
+    typed = _typed(messages).select("id", "_typed")
+    return (
+        conversations.join(typed, "id", "left")
+        .join(_replied(messages, logs), "id", "left")
+        .withColumn("updated_at", F.greatest("created_at", "_typed", "_replied"))
+        .drop("_typed", "_replied")
+    )
+
+
+def conversation_state(conversations: DataFrame, messages: DataFrame, logs: DataFrame) -> DataFrame:
+    """Title and ``updated_at`` together, from one pass over the user messages."""
     return (
-        conversations.join(touched, "id", "left")
-        .withColumn("updated_at", F.greatest("created_at", "_touched"))
-        .drop("_touched")
+        conversations.join(_typed(messages), "id", "left")
+        .join(_replied(messages, logs), "id", "left")
+        .withColumn("title", _settled_title())
+        .withColumn("updated_at", F.greatest("created_at", "_typed", "_replied"))
+        .drop("_first", "_typed", "_replied")
     )
 
 

@@ -120,13 +120,9 @@ def clean_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Conversations
 
 
-def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.conversation_titles(inputs.conversations(spark, sf_dir), inputs.messages(spark, sf_dir))
-
-
-def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.conversation_activity(
-        _titled(spark, sf_dir), inputs.messages(spark, sf_dir), inputs.logs(spark, sf_dir)
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv.conversation_state(
+        inputs.conversations(spark, sf_dir), inputs.messages(spark, sf_dir), inputs.logs(spark, sf_dir)
     )
 
 
@@ -142,7 +138,7 @@ def last_n_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conversation_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titled(spark, sf_dir)
+    return conv.conversation_titles(inputs.conversations(spark, sf_dir), inputs.messages(spark, sf_dir))
 
 
 @query
@@ -154,12 +150,12 @@ def conversation_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def session_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.session_feed(_active(spark, sf_dir))
+    return conv.session_feed(_state(spark, sf_dir))
 
 
 @query
 def feed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.feed_labels(_active(spark, sf_dir), AS_OF)
+    return conv.feed_labels(_state(spark, sf_dir), AS_OF)
 
 
 @query

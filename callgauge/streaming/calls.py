@@ -13,6 +13,7 @@ from callgauge.operators.frames import CHUNK_COLUMNS
 from callgauge.sources.sinks import write_batch
 from callgauge.streaming import snapshots
 from callgauge.streaming.ingest import DRAIN, Trigger
+from callgauge.streaming.lookup import referenced
 
 Calls = Callable[[SparkSession], DataFrame]
 
@@ -49,7 +50,8 @@ def start_fold(
             .select("call_id")
         )
         closing = rows.join(quiet_calls, "call_id", "left_semi")
-        write_batch(fold_calls(calls(spark), closing), f"{path}/logs", batch_id)
+        table = referenced(calls(spark), "call_id", quiet_calls, "call_id")
+        write_batch(fold_calls(table, closing), f"{path}/logs", batch_id)
         snapshots.save(rows.join(quiet_calls, "call_id", "left_anti"), f"{path}/open", batch_id)
         rows.unpersist()
 

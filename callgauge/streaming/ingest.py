@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.functions.times import as_of_column
 from callgauge.operators.integrity import check_logs
-from callgauge.sources.sinks import EVENT_COLUMNS
+from callgauge.sources.sinks import EVENT_COLUMNS, write_batch
+from callgauge.streaming.lookup import referenced
 
 Trigger = dict[str, object]
 DRAIN: Trigger = {"availableNow": True}
@@ -34,9 +35,12 @@ def start_ingest(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.select(*EVENT_COLUMNS).persist()
         conversations, messages = owners(batch.sparkSession)
+        conversations = referenced(conversations.select("id"), "id", batch, "conversation_id")
+        messages = referenced(messages.select("id"), "id", batch, "message_id")
         at = as_of_column(now)
-        rows = check_logs(batch.select(*EVENT_COLUMNS), conversations, messages).select(
+        rows = check_logs(batch, conversations, messages).select(
             F.expr("uuid()").alias("id"),
             *EVENT_COLUMNS,
             at.alias("created_at"),
@@ -44,8 +48,8 @@ def start_ingest(
             F.when(F.col("reason").isNull(), "stored").otherwise("refused").alias("outcome"),
             at.cast("date").alias("log_date"),
         )
-        folder = f"{path}/batch_id={batch_id}"
-        rows.write.mode("overwrite").partitionBy("outcome", "log_date").parquet(folder)
+        write_batch(rows, path, batch_id, "outcome", "log_date")
+        batch.unpersist()
 
     writer = events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).start()

@@ -13,6 +13,7 @@ from callgauge.operators.metrics import (
     BUCKET,
     LATEST_CALLS,
     in_last_hour,
+    latency_buckets,
     recent_logs,
     summary_of,
 )
@@ -23,26 +24,18 @@ AsOf = datetime | Column | None
 
 
 def start_latency(
-    logs: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", trigger: Trigger = DRAIN
+    logs: DataFrame, path: str, checkpoint: str, delay: str | None = None, trigger: Trigger = DRAIN
 ) -> StreamingQuery:
     """Keep a table of five-minute buckets up to date.
 
-    Each trigger hands on the buckets it changed. State older than ``delay`` behind
-    the newest call is let go, so it holds a few buckets, not the history.
+    Each trigger hands on the buckets it changed. Late calls always count; the
+    state is one row per bucket, some 100,000 a year. With ``delay``, buckets that
+    far behind the newest call are let go, and calls later than that are left out.
     """
-    buckets = (
-        logs.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        .withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", BUCKET).alias("w"))
-        .agg(
-            F.avg("latency_ms").alias("avg_latency_ms"),
-            F.count("*").alias("calls"),
-            F.count_if(F.col("status") == "error").alias("error_count"),
-        )
-        .select(
-            F.col("w.start").cast("timestamp_ntz").alias("bucket"), "avg_latency_ms", "calls", "error_count"
-        )
-    )
+    if delay is not None:
+        logs = logs.withColumn("created_at", F.col("created_at").cast("timestamp"))
+        logs = logs.withWatermark("created_at", delay)
+    buckets = latency_buckets(logs).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         state = snapshots.previous(batch.sparkSession, path, batch_id)
