@@ -12,6 +12,8 @@ from callgauge.operators.conversations import PROMPT_MESSAGES
 # task has to order it alone.
 HUGE_CONVERSATION = 200_000
 SLICES = 1024
+# A row finds its slice among every 32nd cut first, then among the 32 after it.
+STEP = 32
 # Up to this many huge conversations, their cut points (8 bytes each) are sent to
 # every task: at most 8 MB.
 BROADCAST_CONVERSATIONS = 1000
@@ -43,15 +45,17 @@ def prompt_context(
         .agg(
             F.percentile_approx("created_at", [i / slices for i in range(1, slices)], 20 * slices).alias("_cuts")
         )
+        .withColumn("_steps", F.filter("_cuts", lambda _, i: (i + 1) % STEP == 0))
     )
     if found <= BROADCAST_CONVERSATIONS:
         cuts = F.broadcast(cuts)
-    before = F.size(F.filter("_cuts", lambda cut: cut < F.col("created_at")))
+    steps = F.size(F.filter("_steps", lambda cut: cut < F.col("created_at"))) * STEP
+    rest = F.filter(F.slice("_cuts", steps + 1, F.lit(STEP)), lambda cut: cut < F.col("created_at"))
     sliced = (
         messages.join(cuts, "conversation_id", "left")
         .withColumn("_huge", F.col("_cuts").isNotNull())
-        .withColumn("_slice", F.when(F.col("_huge"), before).otherwise(0))
-        .drop("_cuts")
+        .withColumn("_slice", F.when(F.col("_huge"), steps + F.size(rest)).otherwise(0))
+        .drop("_cuts", "_steps")
         .repartition("conversation_id", "_slice")
     )
     group = Window.partitionBy("conversation_id", "_slice")
