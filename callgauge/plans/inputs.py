@@ -65,16 +65,16 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logs_of(events: DataFrame) -> DataFrame:
     """One call log per event; works on a stream as well."""
     failed = "event_type = 'error'"
-    tokens = "cast(get_json_object(props, '$.k') as int)"
-    return events.selectExpr(
+    parsed = events.selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k")
+    return parsed.selectExpr(
         "event_id as id",
         "user_id as conversation_id",
         "user_id * 8 + event_id % 8 as message_id",
         "case when event_id % 3 = 0 then 'openai' else 'gemini' end as provider",
         "case when event_id % 3 = 0 then 'gpt-4o-mini' else 'gemini-3.1-flash-lite' end as model",
         "cast(round(value * 100) as bigint) as latency_ms",
-        f"case when not {failed} then {tokens} end as input_tokens",
-        f"case when not {failed} then {tokens} * 3 end as output_tokens",
+        f"case when not {failed} then k end as input_tokens",
+        f"case when not {failed} then k * 3 end as output_tokens",
         f"case when {failed} then 'error' else 'success' end as status",
         f"case when {failed} then concat('provider returned 429: key sk-', "
         "lpad(cast(event_id as string), 10, '0'), ' refused') end as error_msg",
