@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.operators.fold import live_chunks
-from callgauge.operators.frames import END_OF_STREAM, data_lines
+from callgauge.operators.frames import END_OF_STREAM, data_lines, with_json
 from callgauge.operators.ordered import both, in_order, joined_text
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -39,11 +39,8 @@ def chat_events_parse(captures: DataFrame) -> DataFrame:
     at [DONE], or at an event that is not JSON, which is an error too.
     """
 
-    def parse(lines: DataFrame) -> DataFrame:
-        return lines.withColumn("json", F.try_parse_json("data"))
-
     broken = F.col("data").isNotNull() & F.col("json").isNull()
-    short, long = data_lines(captures, parse, broken)
+    short, long = data_lines(captures, with_json, broken)
     last_error = F.max_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).alias("error")
     if short is not None:
         # Lines are in place by call already, so this grouping moves nothing.

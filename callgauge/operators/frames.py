@@ -232,8 +232,21 @@ def _answered(captures: DataFrame) -> DataFrame:
     return captures.filter(F.col("http_status").isNull() | F.col("http_status").between(200, 299))
 
 
-def _with_json(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("json", F.try_parse_json("data"))
+def with_json(lines: DataFrame) -> DataFrame:
+    """Adds ``json``: the data as a variant, NULL unless it is exactly one JSON value.
+
+    The parser stops after the first value and does not look at the rest. As the
+    only element of an array and as the only field of an object, both at once, a
+    text parses to its end.
+    """
+    element = F.try_parse_json(F.concat(F.lit("["), F.col("data"), F.lit("]")))
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), F.col("data"), F.lit("}")))
+    only = field.isNotNull() & F.try_variant_get("_element", "$[1]", "variant").isNull()
+    return (
+        lines.withColumn("_element", element)
+        .withColumn("json", F.when(only, F.try_variant_get("_element", "$[0]", "variant")))
+        .drop("_element")
+    )
 
 
 def frames_openai(captures: DataFrame) -> DataFrame:
@@ -244,7 +257,7 @@ def frames_openai(captures: DataFrame) -> DataFrame:
         return lines.withColumn("data", F.regexp_replace("data", r"\r\z", ""))
 
     rows = both(*data_lines(_answered(captures), parse, F.col("data") == END_OF_STREAM))
-    rows = _with_json(rows.filter(F.col("data") != END_OF_STREAM))
+    rows = with_json(rows.filter(F.col("data") != END_OF_STREAM))
     usage = _part("$.usage")
     has_usage = usage.isNotNull() & ~F.is_variant_null(usage)
     token = _string_at("$.choices[0].delta.content")
@@ -270,7 +283,7 @@ def frames_gemini(captures: DataFrame) -> DataFrame:
     One line may give a token, the end of the call and an error, in this order.
     """
     failure = _part("$.error")
-    rows = both(*data_lines(_answered(captures), _with_json, failure.isNotNull(), drop_returns=True))
+    rows = both(*data_lines(_answered(captures), with_json, failure.isNotNull(), drop_returns=True))
     token = _string_at("$.candidates[0].content.parts[0].text")
     finished = _string_at("$.candidates[0].finishReason").isNotNull() & _part("$.usageMetadata").isNotNull()
     message = F.coalesce(_string_at("$.error.message"), F.lit("unknown gemini error"))

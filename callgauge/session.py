@@ -16,6 +16,7 @@ def local_session(cores: int | str = 8, name: str = "callgauge") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -176,3 +176,10 @@ def test_stream_equals_batch(spark, sizes, tmp_path, spread):
 
 def texts(frame) -> list[str]:
     return sorted(str(tuple(r)) for r in frame.collect())
+
+
+def test_short_calls_take_one_shuffle(spark, tmp_path):
+    frame(spark, CALLS).write.parquet(str(tmp_path / "chunks"))
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    plan = fold.call_outcomes(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1

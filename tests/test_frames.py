@@ -57,6 +57,9 @@ OPENAI = {
     "content not a string": ([data('{"choices":[{"delta":{"content":5}}]}')], []),
     "nothing of use": ([data('{"choices":[]}', "[]", "5")], []),
     "broken, then more": ([data("{oops", token("a"))], [BAD, ("token", "a")]),
+    "more than one value": ([data(token("a") + " x", token("a") + "]", token("a") + "}", token("a") + "," + token("b"),
+                                  token("a") + ',"k":1', "")], [BAD] * 6),
+    "repeated key": ([data('{"usage":null,"choices":[],"choices":[{"delta":{"content":"a"}}]}')], [("token", "a")]),
     "error object is not known": ([data('{"error":{"message":"x"}}')], []),
     "escapes": ([data(token("\\u00e9\\n\\\""))], [("token", "é\n\"")]),
     "many blank lines": ([b"\n\n\n" + data(token("a")) + b"\n\n\n\n"], [("token", "a")]),
