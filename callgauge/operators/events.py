@@ -56,11 +56,12 @@ def _read(lines: DataFrame) -> DataFrame:
     def text(path: str) -> Column:
         return F.try_variant_get("json", path, "string")
 
-    return lines.filter(F.col("data") != END_OF_STREAM).select(
+    return lines.filter(F.col("data").isNull() | (F.col("data") != END_OF_STREAM)).select(
         "call_id",
         "line",
         F.when(text("$.type") == "token", text("$.content")).alias("content"),
-        F.when(F.col("json").isNull(), "malformed event")
+        F.when(F.col("failure").isNotNull(), F.col("failure"))
+        .when(F.col("json").isNull(), "malformed event")
         .when(text("$.type") == "error", text("$.message"))
         .alias("error"),
     )

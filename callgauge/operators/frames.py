@@ -33,7 +33,15 @@ def _pieces(captures: DataFrame, drop_returns: bool) -> DataFrame:
     latin = F.decode("raw", BYTES)
     if drop_returns:
         latin = F.replace(latin, F.lit("\r"), F.lit(""))
-    return captures.select("call_id", "piece", "ts", latin.alias("bytes"), block_of("piece").alias("_pieces"))
+    failure = F.col("transport_error") if "transport_error" in captures.columns else F.lit(None).cast("string")
+    return captures.select(
+        "call_id",
+        "piece",
+        "ts",
+        failure.alias("failure"),
+        F.coalesce(latin, F.lit("")).alias("bytes"),
+        block_of("piece").alias("_pieces"),
+    )
 
 
 def _breaks() -> Column:
@@ -44,11 +52,20 @@ def _fragments(pieces: DataFrame) -> DataFrame:
     """Parts of lines, from pieces that know the line they start in (``_first``)."""
     return (
         pieces.withColumn("_split", F.split("bytes", "\n"))
-        .select("call_id", "piece", "ts", "_first", F.size("_split").alias("_n"), F.posexplode("_split").alias("_pos", "bytes"))
         .select(
             "call_id",
             "piece",
             "ts",
+            "failure",
+            "_first",
+            F.size("_split").alias("_n"),
+            F.posexplode("_split").alias("_pos", "bytes"),
+        )
+        .select(
+            "call_id",
+            "piece",
+            "ts",
+            "failure",
             (F.col("_first") + F.col("_pos")).alias("line"),
             (F.col("_pos") < F.col("_n") - 1).alias("_ended"),
             "bytes",
@@ -62,6 +79,7 @@ def _assembled(fragments: DataFrame, keys: list[str]) -> DataFrame:
         F.max("ts").alias("ts"),
         _text(in_order("piece", "bytes")).alias("text"),
         F.max("_ended").alias("ended"),
+        F.max("failure").alias("failure"),
     )
 
 
@@ -119,34 +137,39 @@ def data_lines(
     """Data lines that count, of short and of long calls.
 
     A line counts up to the last blank line of its call and up to the first stop.
-    ``parse`` adds the columns that ``stop`` needs.
+    ``parse`` adds the columns that ``stop`` needs. A connection that broke before
+    a stop gives one more row, with ``failure`` and without data.
     """
     short, long = by_size(captures, "call_id", "piece")
-    counts = F.col("data").isNotNull() & (F.col("line") <= F.col("_limit"))
+    last_blank = F.max(_blank())
+    first_stop = F.min(F.when(stop, F.col("line")))
+    not_stopped = F.col("_stop").isNull() | (F.col("line") <= F.col("_stop"))
+    broke = F.col("failure").isNotNull()
+    counts = not_stopped & (broke | (F.col("data").isNotNull() & (F.col("line") <= F.col("_blank"))))
+
+    def counted(lines: DataFrame) -> DataFrame:
+        kept = lines.filter(counts)
+        for column in {"data", "json"} & set(kept.columns):
+            kept = kept.withColumn(column, F.when(~broke, F.col(column)))
+        return kept.drop("block", "_blank", "_stop", "ended")
+
     if short is not None:
         call = Window.partitionBy("call_id")
-        last_blank = F.max(_blank()).over(call)
-        first_stop = F.min(F.when(stop, F.col("line"))).over(call)
-        short = (
-            parse(_with_data(short_call_lines(short, drop_returns)))
-            .withColumn("_blank", last_blank)
-            .withColumn("_stop", first_stop)
-            .filter(F.col("_blank").isNotNull())
-            .withColumn("_limit", F.least("_blank", "_stop"))
-            .filter(counts)
-            .drop("_blank", "_stop", "_limit", "ended")
+        lines = parse(_with_data(short_call_lines(short, drop_returns)))
+        short = counted(
+            lines.withColumn("_blank", last_blank.over(call)).withColumn("_stop", first_stop.over(call))
         )
     if long is not None:
-        # The limit of a call is handed to its blocks, so the lines stay in place.
+        # The limits of a call are handed to its blocks, so the lines stay in place.
         lines = parse(_with_data(long_call_lines(long, drop_returns)))
         limits = (
             lines.groupBy("call_id")
-            .agg(F.max(_blank()).alias("_blank"), F.min(F.when(stop, F.col("line"))).alias("_stop"))
-            .filter(F.col("_blank").isNotNull())
-            .select("call_id", F.least("_blank", "_stop").alias("_limit"))
-            .select("call_id", "_limit", blocks_up_to("_limit").alias("block"))
+            .agg(last_blank.alias("_blank"), first_stop.alias("_stop"), F.max(F.when(broke, F.col("line"))).alias("_broke"))
+            .withColumn("_last", F.least(F.greatest("_blank", "_broke"), "_stop"))
+            .filter(F.greatest("_blank", "_broke").isNotNull())
+            .select("call_id", "_blank", "_stop", blocks_up_to("_last").alias("block"))
         )
-        long = lines.join(limits, ["call_id", "block"]).filter(counts).drop("block", "_limit", "ended")
+        long = counted(lines.join(limits, ["call_id", "block"]))
     return short, long
 
 
@@ -191,6 +214,11 @@ def _malformed(detail: Column | str) -> Column:
     return error_text(F.lit("malformed"), detail, F.lit(None))
 
 
+def _broken_connection() -> Column:
+    text = error_text(F.lit("http"), F.col("failure"), F.lit(None))
+    return F.when(F.col("failure").isNotNull(), _chunk(3, "error", error_msg=text))
+
+
 def _exploded(rows: DataFrame, chunks: list[Column]) -> DataFrame:
     return rows.select(
         "call_id", "line", "ts", F.explode(F.array_compact(F.array(*chunks))).alias("c")
@@ -257,12 +285,13 @@ def frames_openai(captures: DataFrame) -> DataFrame:
         return lines.withColumn("data", F.regexp_replace("data", r"\r\z", ""))
 
     rows = both(*data_lines(_answered(captures), parse, F.col("data") == END_OF_STREAM))
-    rows = with_json(rows.filter(F.col("data") != END_OF_STREAM))
+    rows = with_json(rows.filter(F.col("data").isNull() | (F.col("data") != END_OF_STREAM)))
     usage = _part("$.usage")
     has_usage = usage.isNotNull() & ~F.is_variant_null(usage)
     token = _string_at("$.choices[0].delta.content")
     chunk = (
-        F.when(F.col("json").isNull(), _chunk(2, "error", error_msg=_malformed("invalid JSON")))
+        _broken_connection()
+        .when(F.col("json").isNull(), _chunk(2, "error", error_msg=_malformed("invalid JSON")))
         .when(
             has_usage,
             _chunk(
@@ -298,9 +327,9 @@ def frames_gemini(captures: DataFrame) -> DataFrame:
                 output_tokens=_count_at("$.usageMetadata.candidatesTokenCount"),
             ),
         ),
-        F.when(F.col("json").isNull(), _chunk(2, "error", error_msg=_malformed("invalid JSON"))).when(
-            failure.isNotNull(), _chunk(2, "error", error_msg=_malformed(message))
-        ),
+        _broken_connection()
+        .when(F.col("json").isNull(), _chunk(2, "error", error_msg=_malformed("invalid JSON")))
+        .when(failure.isNotNull(), _chunk(2, "error", error_msg=_malformed(message))),
     ]
     return _exploded(rows, chunks).unionByName(failed_requests(captures))
 

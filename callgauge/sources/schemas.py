@@ -30,10 +30,11 @@ INFERENCE_LOGS = (
     "created_at TIMESTAMP_NTZ NOT NULL"
 )
 
-# Bytes as they came from a provider, one row per network piece.
+# Bytes as they came from a provider, one row per network piece. A connection that
+# broke has one more row, without bytes, that says why (the column may be left out).
 RAW_CAPTURES = (
     "call_id STRING NOT NULL, provider STRING NOT NULL, piece BIGINT NOT NULL, "
-    "ts TIMESTAMP_NTZ, http_status INT, raw BINARY"
+    "ts TIMESTAMP_NTZ, http_status INT, raw BINARY, transport_error STRING"
 )
 
 # type is one of: token, done, error, call_error.

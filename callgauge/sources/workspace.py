@@ -16,6 +16,8 @@ def run_folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not shared:
         shared = tempfile.mkdtemp(prefix="callgauge-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -118,6 +118,35 @@ def test_bytes_that_are_no_text(spark):
     assert got == {"x": [("token", "��b")]}
 
 
+@pytest.mark.parametrize("provider", ["openai", "gemini"])
+def test_broken_connections(spark, sizes, provider):
+    say = token if provider == "openai" else g
+    calls = {
+        "midway": [data(say("a")) + b"data: {", None],
+        "at once": [None],
+        "open line": [data(say("a"), say("b")) + f"data: {say('c')}".encode(), None],
+        "long": [data(say(str(i))) for i in range(30)] + [None],
+        "fine": [data(say("a"))],
+    }
+    ended = data("[DONE]") if provider == "openai" else data('{"error":{"message":"m"}}')
+    calls["after the end"] = [data(say("a")), ended, None]
+    rows = [
+        (call, provider, i, None, 200, None if piece is None else bytearray(piece), "reset" if piece is None else None)
+        for call, pieces in calls.items()
+        for i, piece in enumerate(pieces)
+    ]
+    frame = spark.createDataFrame(rows, f"{SCHEMA}, transport_error STRING").repartition(3)
+    failed = ("error", "http error: reset")
+    assert chunks(frames.PROVIDERS[provider](frame)) == {
+        "midway": [("token", "a"), failed],
+        "at once": [failed],
+        "open line": [("token", "a"), ("token", "b"), failed],
+        "long": [("token", str(i)) for i in range(30)] + [failed],
+        "fine": [("token", "a")],
+        "after the end": [("token", "a")] + ([] if provider == "openai" else [("error", "malformed stream chunk: m")]),
+    }
+
+
 def test_failed_requests(spark, sizes):
     calls = {"a": [b"too ", "viél".encode()[:3], "viél".encode()[3:]] + [b"."] * 9, "b": [data(token("x"))], "c": [b""]}
     frame = captures(spark, calls, {"a": 429, "c": 503})

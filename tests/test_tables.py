@@ -20,10 +20,10 @@ NOW = datetime(2024, 6, 1, 12)
 def capture_rows():
     out = []
     for i, (name, (pieces, _)) in enumerate(OPENAI.items()):
-        out += [(f"o{i}", "openai", n, NOW + timedelta(milliseconds=5 * n), 200, bytearray(p)) for n, p in enumerate(pieces)]
+        out += [(f"o{i}", "openai", n, NOW + timedelta(milliseconds=5 * n), 200, bytearray(p), None) for n, p in enumerate(pieces)]
     for i, (name, (body, _)) in enumerate(GEMINI.items()):
-        out.append((f"g{i}", "gemini", 0, NOW, 200, bytearray(body)))
-    out.append(("refused", "gemini", 0, NOW, 429, bytearray(g("x").encode())))
+        out.append((f"g{i}", "gemini", 0, NOW, 200, bytearray(body), None))
+    out.append(("refused", "gemini", 0, NOW, 429, bytearray(g("x").encode()), None))
     return out
 
 
