@@ -87,20 +87,25 @@ def metrics_summary(logs: DataFrame, as_of: AsOf = None) -> DataFrame:
 
 
 def in_last_day(logs: DataFrame, as_of: AsOf = None) -> DataFrame:
-    """Calls of the last 24 hours (strict, no upper bound); prunes date partitions."""
-    return _after(logs, as_of_column(as_of) - F.expr("interval 24 hours"))
+    """Calls of the last 24 hours (strict, no upper bound)."""
+    return between(logs, as_of_column(as_of) - F.expr("interval 24 hours"))
 
 
 def in_last_hour(logs: DataFrame, as_of: AsOf = None) -> DataFrame:
-    """Calls of the last hour (strict, no upper bound); prunes date partitions."""
-    return _after(logs, as_of_column(as_of) - F.expr("interval 1 hour"))
+    """Calls of the last hour (strict, no upper bound)."""
+    return between(logs, as_of_column(as_of) - F.expr("interval 1 hour"))
 
 
-def _after(logs: DataFrame, start: Column) -> DataFrame:
-    recent = logs.filter(F.col("created_at") > start)
+def between(logs: DataFrame, start: Column, end: Column | None = None) -> DataFrame:
+    """Calls after ``start`` and before ``end``; on a date-partitioned table other dates are skipped."""
+    rows = logs.filter(F.col("created_at") > start)
+    if end is not None:
+        rows = rows.filter(F.col("created_at") < end)
     if "log_date" in logs.columns:
-        recent = recent.filter(F.col("log_date") >= start.cast("date"))
-    return recent
+        rows = rows.filter(F.col("log_date") >= start.cast("date"))
+        if end is not None:
+            rows = rows.filter(F.col("log_date") <= end.cast("date"))
+    return rows
 
 
 def latency_buckets(logs: DataFrame) -> DataFrame:

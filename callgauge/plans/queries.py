@@ -361,7 +361,7 @@ def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.logs_of(inputs.stream_of(spark, sf_dir, "events"))
     path = run_folder(spark, "latency")
     live.start_latency(rows, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return live.live_latency(spark, f"{path}/table", AS_OF)
+    return live.live_latency(spark, f"{path}/table", inputs.logs(spark, sf_dir), AS_OF)
 
 
 @query

@@ -12,6 +12,7 @@ from callgauge.functions.times import as_of_column
 from callgauge.operators.metrics import (
     BUCKET,
     LATEST_CALLS,
+    between,
     in_last_hour,
     latency_buckets,
     recent_logs,
@@ -45,13 +46,16 @@ def start_latency(
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def live_latency(spark: SparkSession, path: str, as_of: AsOf = None) -> DataFrame:
-    """Buckets of the last 24 hours from the table.
+def live_latency(spark: SparkSession, path: str, logs: DataFrame, as_of: AsOf = None) -> DataFrame:
+    """Buckets of the last 24 hours: from the table, but the oldest one from the logs.
 
-    A bucket that began before the 24 hours is shown whole.
+    The 24 hours begin inside that bucket, so its calls are counted when asked;
+    the scan skips all dates but theirs.
     """
-    start = as_of_column(as_of) - F.expr("interval 24 hours") - F.expr(f"interval {BUCKET}")
-    return snapshots.latest(spark, path).filter(F.col("bucket") > start).orderBy("bucket")
+    start = as_of_column(as_of) - F.expr("interval 24 hours")
+    oldest = latency_buckets(between(logs, start, start + F.expr(f"interval {BUCKET}")))
+    whole = snapshots.latest(spark, path).filter(F.col("bucket") > start)
+    return whole.unionByName(oldest.filter(F.col("bucket") <= start)).orderBy("bucket")
 
 
 def start_summary(logs: DataFrame, path: str, checkpoint: str, trigger: Trigger = DRAIN) -> StreamingQuery:

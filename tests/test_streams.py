@@ -62,13 +62,15 @@ def test_ingest(spark, source, tmp_path, monkeypatch, keys):
 def test_latency_counts_late_calls(spark, source, tmp_path):
     path = str(tmp_path)
     live.start_latency(logs(spark, source), f"{path}/t", f"{path}/c").awaitTermination()
-    assert rows(live.live_latency(spark, f"{path}/t", inputs.AS_OF)) == rows(metrics.latency_series(batch_logs(spark), inputs.AS_OF))
+    for as_of in (inputs.AS_OF, inputs.AS_OF.replace(day=20, hour=7, minute=13, second=41)):
+        got = live.live_latency(spark, f"{path}/t", batch_logs(spark), as_of)
+        assert rows(got) == rows(metrics.latency_series(batch_logs(spark), as_of))
 
 
 def test_latency_with_a_delay_lets_state_go(spark, source, tmp_path):
     path = str(tmp_path)
     live.start_latency(logs(spark, source), f"{path}/t", f"{path}/c", delay="10 minutes").awaitTermination()
-    got = live.live_latency(spark, f"{path}/t", inputs.AS_OF)
+    got = live.live_latency(spark, f"{path}/t", batch_logs(spark), inputs.AS_OF)
     assert got.schema["bucket"].dataType.typeName() == "timestamp_ntz"
     assert got.agg(F.sum("calls")).first()[0] <= metrics.latency_series(batch_logs(spark), inputs.AS_OF).agg(F.sum("calls")).first()[0]
 
