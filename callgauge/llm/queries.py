@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callgauge.llm import bpe, pfor
+from callgauge.llm import bpe, cascade, licenses, pfor, suffixes
 from callgauge.llm.rows import table
 from callgauge.sources.workspace import run_folder
 
@@ -20,6 +21,20 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every document."""
+    found = suffixes.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        suffixes.hits().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        suffixes.contaminated().alias("contaminated"),
+    )
+
+
 @query
 def op6_pfor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as shards and read back."""
@@ -28,6 +43,29 @@ def op6_pfor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read(spark, folder)
 
 
+@query
+def op7_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return cascade.measure(docs, cascade.plan(docs)).drop("rejected_by")  # which of two rules is named depends on times
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and tags of every document."""
+    found = licenses.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").alias("first_word"),
+        F.array_max("places").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
