@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.llm import bpe, cascade, licenses, pfor, suffixes
-from callgauge.llm.rows import table
+from callgauge.llm import bpe, cascade, langid, licenses, pfor, suffixes
+from callgauge.llm.rows import remainder, table
 from callgauge.sources.workspace import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,15 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_bigru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the documents is held out."""
+    docs = table(spark, sf_dir, "documents")
+    network = langid.fit(docs, remainder("doc_id", 3) != 1)
+    found = langid.predict(docs, network)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
