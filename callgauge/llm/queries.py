@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.llm import bpe, cascade, langid, licenses, pfor, suffixes
+from callgauge.llm import bpe, cascade, fm, langid, licenses, pfor, ruleensemble, suffixes
 from callgauge.llm.rows import remainder, table
 from callgauge.sources.workspace import run_folder
 
@@ -35,6 +35,24 @@ def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of a third of the documents are never seen."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = fm.fit(docs, labels, "toxic", remainder("doc_id", 3) != 1)
+    held_out = (remainder("doc_id", 3) == 1).alias("held_out")
+    return fm.score(docs, machine).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of a fifth of the documents are never seen."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ensemble = ruleensemble.fit(docs, labels, "quality", remainder("doc_id", 5) != 0)
+    held_out = (remainder("doc_id", 5) == 0).alias("held_out")
+    return ruleensemble.score(docs, ensemble).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op6_pfor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as shards and read back."""
