@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.llm import bpe, cascade, fm, langid, licenses, pfor, ruleensemble, suffixes
+from callgauge.llm import bagminhash, bpe, cascade, fm, langid, licenses, pfor, ruleensemble, suffixes
 from callgauge.llm.rows import remainder, table
 from callgauge.sources.workspace import run_folder
 
@@ -21,6 +21,12 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return bagminhash.duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
