@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.llm import bagminhash, bpe, cascade, fm, langid, licenses, pfor, ruleensemble, suffixes
+from callgauge.llm import bagminhash, bpe, cascade, ctw, fm, langid, licenses, pfor, ruleensemble, suffixes
 from callgauge.llm.rows import remainder, table
 from callgauge.sources.workspace import run_folder
 
@@ -27,6 +27,14 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; a seventh of the documents teaches nothing."""
+    scored = ctw.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    held_out = (remainder("doc_id", 7) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 @query
 def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
