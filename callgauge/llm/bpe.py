@@ -36,6 +36,8 @@ class Bpe:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if any(bytes([x]) not in self.rank for x in range(256)):
+            raise ValueError("the rank file lacks a byte")
         self.bytes_of = {rank: token for token, rank in self.rank.items()}
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
@@ -129,8 +131,6 @@ class Bpe:
             while token is not None and (dead[place + sizes[token]] or taken and not self.fits(taken[-1], token)):
                 token = self.shorter(token)
             if token is None:
-                if not taken:
-                    raise ValueError("the ranks lack a byte of the text")
                 dead[place] = 1
                 token = taken.pop()
                 place -= sizes[token]
