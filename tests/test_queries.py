@@ -7,10 +7,11 @@ from compare import check, twin
 
 import __spark_entry__ as entry
 from callgauge.plans import inputs
+from callgauge.plans.queries import REGISTRY
 from conftest import SMALL
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = {name: build for name, build in entry.queries().items() if name in REGISTRY}
+ORACLE = {name: sql for name, sql in entry.oracle_sql().items() if name in REGISTRY}
 
 
 @pytest.fixture(scope="module")
