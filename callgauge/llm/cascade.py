@@ -101,7 +101,8 @@ RULES: dict[str, Rule] = {
     "symbols": lambda t: 100 * t.n_symbols > 10 * t.word_chars,
     "shouting": lambda t: 10 * t.n_upper > 6 * t.n_letters,
     "few_letters": lambda t: 10 * t.n_letters < 4 * len(b"".join(t.words)),
-    "repeated_lines": lambda t: 10 * t.n_dup_lines > 3 * len(t.lines),
+    "bars": lambda t: 100 * t.words.count(b"|") > 15 * len(t.words),
+    "repeated_lines": lambda t: 10 * t.n_dup_lines > 6 * len(t.lines),
     "one_word": lambda t: len(t.words) >= 20 and 20 * len(set(t.words)) < len(t.words) ** 0.75,
 }
 BASE = ("few_words", "repeated_windows")

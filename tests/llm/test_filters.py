@@ -36,7 +36,7 @@ JUNK = [
     (22, "\n".join([cases.prose(6, seed=10)] * 3 + [cases.prose(60, seed=11)])),
     (23, "\n".join(["one line"] * 12)),
     (24, "lado " * 50),
-    (25, cases.prose(30, seed=12).replace(" ", " || ")),
+    (25, cases.prose(30, seed=12).replace(" ", " | ")),
 ]
 
 
