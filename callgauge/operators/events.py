@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callgauge.operators.fold import live_chunks
 from callgauge.operators.frames import END_OF_STREAM, data_lines, with_json
-from callgauge.operators.ordered import both, in_order, joined_text
+from callgauge.operators.ordered import block_of, in_order
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -40,16 +40,13 @@ def chat_events_parse(captures: DataFrame) -> DataFrame:
     """
 
     broken = F.col("data").isNotNull() & F.col("json").isNull()
-    short, long = data_lines(captures, with_json, broken)
+    read = _read(data_lines(captures, with_json, broken))
     last_error = F.max_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).alias("error")
-    if short is not None:
-        # Lines are in place by call already, so this grouping moves nothing.
-        short = _read(short).groupBy("call_id").agg(in_order("line", "content").alias("content"), last_error)
-    if long is not None:
-        read = _read(long)
-        contents = joined_text(read, ["call_id"], "line", "content", "content")
-        long = contents.join(read.groupBy("call_id").agg(last_error), "call_id")
-    return both(short, long)
+    # Texts first meet within blocks of lines; a call's blocks and errors are one row each.
+    parts = read.groupBy("call_id", block_of("line").alias("_block")).agg(
+        in_order("line", "content").alias("_part"), last_error, F.max(F.when(F.col("error").isNotNull(), F.col("line"))).alias("_at")
+    )
+    return parts.groupBy("call_id").agg(in_order("_block", "_part").alias("content"), F.max_by("error", "_at").alias("error"))
 
 
 def _read(lines: DataFrame) -> DataFrame:

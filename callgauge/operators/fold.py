@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from callgauge.functions.redaction import preview, redact
 from callgauge.functions.times import elapsed_ms
-from callgauge.operators.ordered import block_of, both, by_size, in_order
+from callgauge.operators.ordered import block_of, in_order
 
 FAILURES = ("error", "call_error")
 
@@ -48,13 +48,8 @@ def _latest_usage(window):
     return F.last(_usage(), ignorenulls=True).over(window.rowsBetween(*SO_FAR))
 
 
-def _live_short(chunks: DataFrame) -> DataFrame:
-    """Chunks of short calls up to their first failure: one shuffle by call."""
-    return chunks.withColumn("_stop", F.min(_failed_at()).over(Window.partitionBy(*CALL))).filter(_not_past_failure())
-
-
-def _live_long(chunks: DataFrame) -> DataFrame:
-    """The same for long calls, by (call, block).
+def _live(chunks: DataFrame) -> DataFrame:
+    """Chunks of calls up to their first failure, by (call, block).
 
     Adds ``block``, and the ends of the call and its latest usage in earlier blocks.
     """
@@ -81,12 +76,7 @@ def _live_long(chunks: DataFrame) -> DataFrame:
 
 def live_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks up to and including the first failure of their call."""
-    short, long = by_size(chunks, "call_id", "seq")
-    if short is not None:
-        short = _live_short(short).select(*chunks.columns)
-    if long is not None:
-        long = _live_long(long).select(*chunks.columns)
-    return both(short, long)
+    return _live(chunks).select(*chunks.columns)
 
 
 def _part_aggregates() -> list:
@@ -100,18 +90,10 @@ def _part_aggregates() -> list:
     ]
 
 
-def _short_parts(chunks: DataFrame) -> DataFrame:
-    in_call = Window.partitionBy(*CALL).orderBy("seq")
-    numbered = _live_short(
-        chunks.withColumn("part", _ends_before(in_call)).withColumn("_usage", _latest_usage(in_call))
-    )
-    return numbered.groupBy("call_id", "part").agg(*_part_aggregates())
-
-
-def _long_parts(chunks: DataFrame) -> DataFrame:
+def _parts(chunks: DataFrame) -> DataFrame:
     in_block = Window.partitionBy("call_id", "block").orderBy("seq")
     numbered = (
-        _live_long(chunks)
+        _live(chunks)
         .withColumn("part", F.col("_earlier_ends") + _ends_before(in_block))
         .withColumn("_usage", F.coalesce(_latest_usage(in_block), "_earlier_usage"))
     )
@@ -151,12 +133,7 @@ def call_outcomes(chunks: DataFrame, include_abandoned: bool = False) -> DataFra
     ``text`` is the whole text before that end. With ``include_abandoned``, calls
     without any end give a row of type 'abandoned'.
     """
-    short, long = by_size(chunks, "call_id", "seq")
-    if short is not None:
-        short = _outcomes(_short_parts(short), include_abandoned)
-    if long is not None:
-        long = _outcomes(_long_parts(long), include_abandoned)
-    return both(short, long)
+    return _outcomes(_parts(chunks), include_abandoned)
 
 
 def fold_calls(calls: DataFrame, chunks: DataFrame, include_abandoned: bool = False) -> DataFrame:

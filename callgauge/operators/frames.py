@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgauge.functions.text import error_text
-from callgauge.operators.ordered import block_of, blocks_up_to, both, by_size, in_order
+from callgauge.operators.ordered import block_of, blocks_up_to, in_order
 
 DATA = "data: "
 END_OF_STREAM = "[DONE]"
@@ -86,24 +86,13 @@ def _assembled(fragments: DataFrame, keys: list[str]) -> DataFrame:
 EARLIER = (Window.unboundedPreceding, -1)
 
 
-def short_call_lines(captures: DataFrame, drop_returns: bool = False) -> DataFrame:
-    """Lines of short calls, numbered from 0: (call_id, line, ts, text, ended).
+def call_lines(captures: DataFrame, drop_returns: bool = False) -> DataFrame:
+    """Lines of calls, numbered from 0: (call_id, block, line, ts, text, ended).
 
-    A line may start in one piece and end in a later one. Pieces are numbered by
-    the line breaks before them, and fragments meet by line. One shuffle by call.
-    """
-    earlier = Window.partitionBy("call_id").orderBy("piece").rowsBetween(*EARLIER)
-    pieces = _pieces(captures, drop_returns).withColumn(
-        "_first", F.coalesce(F.sum(_breaks()).over(earlier), F.lit(0))
-    )
-    return _assembled(_fragments(pieces), ["call_id"])
-
-
-def long_call_lines(captures: DataFrame, drop_returns: bool = False) -> DataFrame:
-    """The same for long calls, plus ``block``: lines are spread by (call, block).
-
-    Line breaks are counted within blocks of pieces and carried over as one sum
-    per block.
+    A line may start in one piece and end in a later one. Pieces are numbered by the
+    line breaks before them, and fragments meet by line. Line breaks are counted within
+    blocks of pieces and carried over as one sum per block; lines are spread by
+    (call, block).
     """
     pieces = _pieces(captures, drop_returns)
     earlier_blocks = Window.partitionBy("call_id").orderBy("_pieces").rowsBetween(*EARLIER)
@@ -133,44 +122,30 @@ def data_lines(
     parse: Callable[[DataFrame], DataFrame],
     stop: Column,
     drop_returns: bool = False,
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """Data lines that count, of short and of long calls.
+) -> DataFrame:
+    """Data lines that count.
 
     A line counts up to the last blank line of its call and up to the first stop.
     ``parse`` adds the columns that ``stop`` needs. A connection that broke before
     a stop gives one more row, with ``failure`` and without data.
     """
-    short, long = by_size(captures, "call_id", "piece")
-    last_blank = F.max(_blank())
     first_stop = F.min(F.when(stop, F.col("line")))
     not_stopped = F.col("_stop").isNull() | (F.col("line") <= F.col("_stop"))
     broke = F.col("failure").isNotNull()
     counts = not_stopped & (broke | (F.col("data").isNotNull() & (F.col("line") <= F.col("_blank"))))
-
-    def counted(lines: DataFrame) -> DataFrame:
-        kept = lines.filter(counts)
-        for column in {"data", "json"} & set(kept.columns):
-            kept = kept.withColumn(column, F.when(~broke, F.col(column)))
-        return kept.drop("block", "_blank", "_stop", "ended")
-
-    if short is not None:
-        call = Window.partitionBy("call_id")
-        lines = parse(_with_data(short_call_lines(short, drop_returns)))
-        short = counted(
-            lines.withColumn("_blank", last_blank.over(call)).withColumn("_stop", first_stop.over(call))
-        )
-    if long is not None:
-        # The limits of a call are handed to its blocks, so the lines stay in place.
-        lines = parse(_with_data(long_call_lines(long, drop_returns)))
-        limits = (
-            lines.groupBy("call_id")
-            .agg(last_blank.alias("_blank"), first_stop.alias("_stop"), F.max(F.when(broke, F.col("line"))).alias("_broke"))
-            .withColumn("_last", F.least(F.greatest("_blank", "_broke"), "_stop"))
-            .filter(F.greatest("_blank", "_broke").isNotNull())
-            .select("call_id", "_blank", "_stop", blocks_up_to("_last").alias("block"))
-        )
-        long = counted(lines.join(limits, ["call_id", "block"]))
-    return short, long
+    # The limits of a call are handed to its blocks, so the lines stay in place.
+    lines = parse(_with_data(call_lines(captures, drop_returns)))
+    limits = (
+        lines.groupBy("call_id")
+        .agg(F.max(_blank()).alias("_blank"), first_stop.alias("_stop"), F.max(F.when(broke, F.col("line"))).alias("_broke"))
+        .withColumn("_last", F.least(F.greatest("_blank", "_broke"), "_stop"))
+        .filter(F.greatest("_blank", "_broke").isNotNull())
+        .select("call_id", "_blank", "_stop", blocks_up_to("_last").alias("block"))
+    )
+    kept = lines.join(limits, ["call_id", "block"]).filter(counts)
+    for column in {"data", "json"} & set(kept.columns):
+        kept = kept.withColumn(column, F.when(~broke, F.col(column)))
+    return kept.drop("block", "_blank", "_stop", "ended")
 
 
 def _part(path: str) -> Column:
@@ -284,7 +259,7 @@ def frames_openai(captures: DataFrame) -> DataFrame:
         # A return before the line feed is not part of the line.
         return lines.withColumn("data", F.regexp_replace("data", r"\r\z", ""))
 
-    rows = both(*data_lines(_answered(captures), parse, F.col("data") == END_OF_STREAM))
+    rows = data_lines(_answered(captures), parse, F.col("data") == END_OF_STREAM)
     rows = with_json(rows.filter(F.col("data").isNull() | (F.col("data") != END_OF_STREAM)))
     usage = _part("$.usage")
     has_usage = usage.isNotNull() & ~F.is_variant_null(usage)
@@ -312,7 +287,7 @@ def frames_gemini(captures: DataFrame) -> DataFrame:
     One line may give a token, the end of the call and an error, in this order.
     """
     failure = _part("$.error")
-    rows = both(*data_lines(_answered(captures), with_json, failure.isNotNull(), drop_returns=True))
+    rows = data_lines(_answered(captures), with_json, failure.isNotNull(), drop_returns=True)
     token = _string_at("$.candidates[0].content.parts[0].text")
     finished = _string_at("$.candidates[0].finishReason").isNotNull() & _part("$.usageMetadata").isNotNull()
     message = F.coalesce(_string_at("$.error.message"), F.lit("unknown gemini error"))

@@ -125,8 +125,8 @@ def latency_series(logs: DataFrame, as_of: AsOf = None) -> DataFrame:
     return latency_buckets(in_last_day(logs, as_of)).orderBy("bucket")
 
 
-def recent_logs(logs: DataFrame, limit: int = LATEST_CALLS) -> DataFrame:
-    """Latest calls, newest first; equal times are ordered by id.
+def latest_calls(logs: DataFrame, limit: int = LATEST_CALLS) -> DataFrame:
+    """Latest calls with all their columns, newest first; equal times are ordered by id.
 
     On a date-partitioned table the top-k reads only the newest dates that hold
     ``limit`` calls between them. Finding those dates reads no data column.
@@ -146,7 +146,11 @@ def recent_logs(logs: DataFrame, limit: int = LATEST_CALLS) -> DataFrame:
             )
         )
         logs = logs.filter(F.col("log_date") >= oldest_needed.scalar())
-    return logs.select(*LOG_COLUMNS).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    return logs.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def recent_logs(logs: DataFrame, limit: int = LATEST_CALLS) -> DataFrame:
+    return latest_calls(logs, limit).select(*LOG_COLUMNS)
 
 
 def log_display(logs: DataFrame, limit: int = LATEST_CALLS) -> DataFrame:

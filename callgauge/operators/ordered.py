@@ -1,12 +1,10 @@
 """Work in order within a group, whatever its size.
 
 Rows of a group carry an ordinal (a piece, line or sequence number, unique in the
-group). Groups are of two kinds:
-
-* short ones, below one block of ordinals: one shuffle by group, then windows;
-* long ones: shuffled by (group, block), never by group alone, so that one group
-  may hold any share of all rows. What has to cross blocks travels as one small
-  summary row per block.
+group). They are shuffled by (group, block of ordinals), never by group alone, so that
+one group may hold any share of all rows. What has to cross blocks travels as one small
+summary row per block. Groups of one block take the same way, so no plan depends on a
+count made before.
 """
 
 from __future__ import annotations
@@ -16,10 +14,6 @@ from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
 
-# Long groups are told apart by a broadcast of their keys, up to this many of them
-# (a few MB). With more of them every group goes the long way.
-BROADCAST_KEYS = 50_000
-
 
 def block_of(ordinal: Column | str) -> Column:
     """Number of the block that ``ordinal`` is in."""
@@ -31,29 +25,6 @@ def blocks_up_to(ordinal: Column | str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), block_of(ordinal)))
 
 
-def by_size(rows: DataFrame, key: str, ordinal: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """Rows of short groups and rows of long groups; None where there are none.
-
-    Counting the long groups runs a job, which reads two columns and skips row
-    groups whose ordinals are all in the first block.
-    """
-    long_keys = rows.filter(F.col(ordinal) >= 1 << BLOCK_BITS).select(key).distinct()
-    found = long_keys.count()
-    if found == 0:
-        return rows, None
-    if found > BROADCAST_KEYS:
-        return None, rows
-    small = F.broadcast(long_keys)
-    return rows.join(small, key, "left_anti"), rows.join(small, key, "left_semi")
-
-
-def both(short: DataFrame | None, long: DataFrame | None) -> DataFrame:
-    """The union of what was made of short and of long groups."""
-    if short is None or long is None:
-        return long if short is None else short
-    return short.unionByName(long)
-
-
 def in_order(ordinal: Column | str, text: Column | str) -> Column:
     """Aggregate: texts of a bounded group put together by ordinal, NULLs left out."""
     ordinal = F.col(ordinal) if isinstance(ordinal, str) else ordinal

@@ -163,3 +163,9 @@ def prompt_openai(prompts: DataFrame, model: str) -> DataFrame:
 
 def prompt_gemini(prompts: DataFrame) -> DataFrame:
     return prompts.select("conversation_id", "message_id", gemini_body("messages").alias("body"))
+
+
+def user_previews(messages: DataFrame, limit: int = PREVIEW_CHARS) -> DataFrame:
+    """``input_previews`` of the prompts of all user turns: a user message is the last of its own prompt."""
+    turns = messages.filter(F.col("role") == "user")
+    return turns.select("conversation_id", F.col("id").alias("message_id"), preview("content", limit).alias("input_preview"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgauge.functions.redaction import preview
+from callgauge.operators.metrics import latest_calls
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -21,18 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose texts take work per row.
-
-    One that is a single file (only a small one is) would be read by a single task,
-    so its rows are dealt out to all cores first. A larger table is read as it lies.
-    """
-    rows = table(spark, sf_dir, name)
-    if len(rows.inputFiles()) == 1:
-        return rows.repartition(spark.sparkContext.defaultParallelism)
-    return rows
-
-
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "conversations")
@@ -42,7 +31,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
             "id",
             F.expr("id % 10").alias("session_id"),
             F.lit("New conversation").alias("title"),
-            F.expr(f"{EPOCH} + make_dt_interval(0, 0, cast(id * 10 as int), 0)").alias("created_at"),
+            F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, cast(id * 600 as decimal(18, 6)))").alias("created_at"),
         )
     )
 
@@ -54,7 +43,7 @@ def messages_of(turns: DataFrame) -> DataFrame:
         F.col("conv_id").alias("conversation_id"),
         "role",
         F.expr("case when role = 'assistant' and conv_id % 7 = 3 and turn < 2 then '' else text end").alias("content"),
-        F.expr(f"{EPOCH} + make_dt_interval(0, 0, cast(conv_id * 10 + turn as int), 0)").alias("created_at"),
+        F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, cast(conv_id * 600 + turn * 60 as decimal(18, 6)))").alias("created_at"),
     )
 
 
@@ -86,14 +75,23 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_of(table(spark, sf_dir, "events"))
 
 
-def previewed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_previews(calls: DataFrame, texts: DataFrame) -> DataFrame:
     """Calls with both previews: the reply they link to, and the message before it."""
-    texts = messages(spark, sf_dir)
     replies = texts.select(F.col("id").alias("message_id"), preview("content").alias("output_preview"))
     asked = texts.select((F.col("id") + 1).alias("message_id"), preview("content").alias("input_preview"))
-    return (
-        logs(spark, sf_dir).join(replies, "message_id", "left").join(asked, "message_id", "left")
-    )
+    return calls.join(replies, "message_id", "left").join(asked, "message_id", "left")
+
+
+def previewed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_previews(logs(spark, sf_dir), messages(spark, sf_dir))
+
+
+def latest_previewed(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    """The latest calls with previews. Only their messages are looked up and redacted: the
+    ids of ``limit`` calls go to the message table."""
+    latest = latest_calls(logs(spark, sf_dir), limit)
+    linked = latest.select(F.explode(F.array("message_id", F.col("message_id") - 1)).alias("id")).distinct()
+    return with_previews(latest, messages(spark, sf_dir).join(F.broadcast(linked), "id", "left_semi"))
 
 
 def strict_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +140,7 @@ def replies_of(texts: DataFrame) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replies_of(messages_of(text_table(spark, sf_dir, "conversations")))
+    return replies_of(messages(spark, sf_dir))
 
 
 PIECE_BYTES = 97
@@ -256,7 +254,7 @@ def chunks_of(answers: DataFrame) -> DataFrame:
     refused = "concat('provider returned 429: key sk-', lpad(cast(id as string), 12, '0'), ' refused')"
     tokens = f"transform(words, (w, i) -> {other.format(seq='cast(i as bigint) * 2', kind='token', content=WORD, error=null_text)})"
     half = done.format(seq=f"2 * ({n} div 2) + 1", i="cast(null as int)", o="cast(1 as int)")
-    last = done.format(seq=f"2 * {n}", i="cast(id as int)", o="cast(size(words) as int)")
+    last = done.format(seq=f"2 * {n}", i="cast(id % 2147483648 as int)", o="cast(size(words) as int)")
     malformed = "'malformed stream chunk: mail ops@example.org'"
     failed = other.format(seq=f"2 * {n} + 1", kind="error", content=null_text, error=malformed)
     late = other.format(seq=f"2 * {n} + 2", kind="token", content="'late'", error=null_text)
@@ -304,8 +302,12 @@ def event_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A given table as a file stream; ``max_files`` bounds what one trigger takes in."""
-    reader = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}*.parquet")
+    """A given table, one file or a folder of files, as a stream; ``max_files`` bounds a trigger.
+
+    The path is a pattern that matches the table alone: a stream takes a folder or a
+    pattern, not the name of a file.
+    """
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")

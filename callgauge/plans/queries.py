@@ -14,7 +14,7 @@ from callgauge.functions.times import iso_utc
 from callgauge.operators import conversations as conv
 from callgauge.operators import events, fold, frames, integrity, metrics, prompts
 from callgauge.plans import inputs
-from callgauge.plans.inputs import AS_OF, table, text_table
+from callgauge.plans.inputs import AS_OF, table
 from callgauge.sources import sinks
 from callgauge.sources.workspace import run_folder
 from callgauge.streaming import calls as call_stream
@@ -52,12 +52,12 @@ def latency_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def recent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.recent_logs(inputs.previewed_logs(spark, sf_dir))
+    return metrics.recent_logs(inputs.latest_previewed(spark, sf_dir, metrics.LATEST_CALLS))
 
 
 @query
 def log_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.log_display(inputs.previewed_logs(spark, sf_dir))
+    return metrics.log_display(inputs.latest_previewed(spark, sf_dir, metrics.LATEST_CALLS))
 
 
 @query
@@ -75,10 +75,10 @@ def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = text_table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"
     )
-    pages = text_table(spark, sf_dir, "pages").select(
+    pages = table(spark, sf_dir, "pages").select(
         F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")
     )
     return documents.unionByName(pages).select("kind", "id", redact("text").alias("text"))
@@ -97,7 +97,7 @@ def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def input_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.input_previews(prompts.prompt_context(inputs.messages(spark, sf_dir)))
+    return prompts.user_previews(inputs.messages(spark, sf_dir))
 
 
 @query

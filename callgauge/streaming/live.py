@@ -25,17 +25,13 @@ AsOf = datetime | Column | None
 
 
 def start_latency(
-    logs: DataFrame, path: str, checkpoint: str, delay: str | None = None, trigger: Trigger = DRAIN
+    logs: DataFrame, path: str, checkpoint: str, trigger: Trigger = DRAIN
 ) -> StreamingQuery:
     """Keep a table of five-minute buckets up to date.
 
     Each trigger hands on the buckets it changed. Late calls always count; the
-    state is one row per bucket, some 100,000 a year. With ``delay``, buckets that
-    far behind the newest call are let go, and calls later than that are left out.
+    state is one row per bucket, some 100,000 a year.
     """
-    if delay is not None:
-        logs = logs.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        logs = logs.withWatermark("created_at", delay)
     buckets = latency_buckets(logs).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
     def store(batch: DataFrame, batch_id: int) -> None:

@@ -20,11 +20,9 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["short", "long", "mixed"])
+@pytest.fixture(params=["one block", "many blocks"])
 def sizes(request, monkeypatch):
-    """Run a test with groups taken the short way, the long way, or by size."""
-    if request.param != "short":
+    """Run a test with groups that fit in a block, and with groups cut into small blocks."""
+    if request.param == "many blocks":
         monkeypatch.setattr(ordered, "BLOCK_BITS", 2)
-    if request.param == "long":
-        monkeypatch.setattr(ordered, "BROADCAST_KEYS", 0)
     return request.param

@@ -68,3 +68,13 @@ def test_recent_is_a_top_k(spark):
     from callgauge.operators.metrics import recent_logs
 
     assert "TakeOrderedAndProject" in plan(recent_logs(inputs.previewed_logs(spark, SMALL)))
+    for name in ("recent_logs", "log_display"):
+        text = plan(QUERIES[name](spark, SMALL))
+        # Deeper in a plan is later in its text: the top-k is taken before the messages are met.
+        assert text[: text.index("== Physical")].count("Join") and "TakeOrderedAndProject" in text
+        assert text.rindex("TakeOrderedAndProject") > text.index("Join", text.index("== Physical"))
+
+
+def test_input_previews_move_nothing(spark):
+    text = plan(QUERIES["input_previews"](spark, SMALL))
+    assert "Exchange" not in text and "Window" not in text

@@ -67,14 +67,6 @@ def test_latency_counts_late_calls(spark, source, tmp_path):
         assert rows(got) == rows(metrics.latency_series(batch_logs(spark), as_of))
 
 
-def test_latency_with_a_delay_lets_state_go(spark, source, tmp_path):
-    path = str(tmp_path)
-    live.start_latency(logs(spark, source), f"{path}/t", f"{path}/c", delay="10 minutes").awaitTermination()
-    got = live.live_latency(spark, f"{path}/t", batch_logs(spark), inputs.AS_OF)
-    assert got.schema["bucket"].dataType.typeName() == "timestamp_ntz"
-    assert got.agg(F.sum("calls")).first()[0] <= metrics.latency_series(batch_logs(spark), inputs.AS_OF).agg(F.sum("calls")).first()[0]
-
-
 def test_summary(spark, source, tmp_path):
     path = str(tmp_path)
     live.start_summary(logs(spark, source), f"{path}/t", f"{path}/c").awaitTermination()
