@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callgauge.sources.schemas import ROLES, STATUSES
 
 LOG_REQUIRED = ("conversation_id", "model", "provider", "latency_ms", "status")
+CONVERSATION_REQUIRED = ("session_id", "title")
 MESSAGE_REQUIRED = ("conversation_id", "role", "content")
 
 
@@ -27,14 +28,26 @@ def _matched(df: DataFrame, column: str, owners: DataFrame, flag: str) -> DataFr
     return df.join(ids, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def _linked(df: DataFrame, messages: DataFrame, flag: str) -> DataFrame:
+    """``_matched`` for the message link, which may be NULL: rows without one don't take part
+    in the join, or they would all meet in one task."""
+    without = df.filter(F.col("message_id").isNull()).withColumn(flag, F.lit(False))
+    return _matched(df.filter(F.col("message_id").isNotNull()), "message_id", messages, flag).unionByName(without)
+
+
+def check_conversations(conversations: DataFrame) -> DataFrame:
+    """Conversations with ``reason``: NULL where the row may be stored."""
+    return conversations.withColumn("reason", _first_null(CONVERSATION_REQUIRED))
+
+
 def check_logs(logs: DataFrame, conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Call logs with ``reason``: NULL where the row may be stored.
 
     Checked in this order: required values, status domain, conversation exists,
     message exists (no message is fine).
     """
-    flagged = _matched(logs, "conversation_id", conversations, "_conversation")
-    flagged = _matched(flagged, "message_id", messages, "_message")
+    flagged = _linked(logs, messages, "_message")
+    flagged = _matched(flagged, "conversation_id", conversations, "_conversation")
     reason = F.coalesce(
         _first_null(LOG_REQUIRED),
         F.when(~F.col("status").isin(*STATUSES), F.lit("status not allowed")),
@@ -99,7 +112,7 @@ def cascade_delete(
 
 def cascade_set_null(logs: DataFrame, deleted_messages: DataFrame) -> DataFrame:
     """Call logs after deleting messages: the link is cleared, the log stays."""
-    flagged = _matched(logs, "message_id", deleted_messages, "_gone")
+    flagged = _linked(logs, deleted_messages, "_gone")
     cleared = F.when(~F.col("_gone"), F.col("message_id"))
     return flagged.withColumn("message_id", cleared).select(*logs.columns)
 
@@ -109,4 +122,5 @@ def logs_with_reply(logs: DataFrame, messages: DataFrame) -> DataFrame:
     reply = messages.select(
         F.col("id").alias("message_id"), F.col("role").alias("reply_role"), F.col("content").alias("reply")
     )
-    return logs.join(reply, "message_id", "left")
+    linked = logs.filter(F.col("message_id").isNotNull()).join(reply, "message_id", "left")
+    return linked.unionByName(logs.filter(F.col("message_id").isNull()), allowMissingColumns=True)

@@ -18,6 +18,11 @@ AS_OF = datetime(2024, 1, 31)
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
+def minutes(count: str) -> str:
+    """An interval of so many minutes, for counts beyond 32 bits too."""
+    return f"make_dt_interval(cast(({count}) div 1440 as int), 0, cast(({count}) % 1440 as int), 0)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +36,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
             "id",
             F.expr("id % 10").alias("session_id"),
             F.lit("New conversation").alias("title"),
-            F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, cast(id * 600 as decimal(18, 6)))").alias("created_at"),
+            F.expr(f"{EPOCH} + {minutes('id * 10')}").alias("created_at"),
         )
     )
 
@@ -43,7 +48,7 @@ def messages_of(turns: DataFrame) -> DataFrame:
         F.col("conv_id").alias("conversation_id"),
         "role",
         F.expr("case when role = 'assistant' and conv_id % 7 = 3 and turn < 2 then '' else text end").alias("content"),
-        F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, cast(conv_id * 600 + turn * 60 as decimal(18, 6)))").alias("created_at"),
+        F.expr(f"{EPOCH} + {minutes('conv_id * 10 + turn')}").alias("created_at"),
     )
 
 
@@ -107,6 +112,12 @@ def strict_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strict_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as they might be opened: some name no session."""
+    session = F.expr("nullif(session_id, 7)")
+    return conversations(spark, sf_dir).withColumn("session_id", session)
+
+
 def strict_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as they might arrive: some break a rule of the message table."""
     return messages(spark, sf_dir).selectExpr(

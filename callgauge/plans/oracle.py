@@ -429,6 +429,9 @@ ORACLE: dict[str, str] = {
         SELECT id, CASE WHEN nullif(content, '') IS NULL THEN 'content is null'
           WHEN id % 8 = 5 THEN 'role not allowed'
           WHEN conversation_id IN {TOXIC} THEN 'conversation not found' END AS reason FROM msg""",
+    "integrity_conversations": f"""{with_(CONVERSATIONS)}
+        SELECT id, nullif(session_id, 7) AS session_id,
+               CASE WHEN session_id = 7 THEN 'session_id is null' END AS reason FROM conv""",
     "integrity_keys": """
         SELECT id, event_type, created_at, copies,
                row_number() OVER (PARTITION BY id ORDER BY created_at, event_type) = 1 AS kept

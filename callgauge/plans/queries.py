@@ -223,6 +223,11 @@ def integrity_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.check_messages(inputs.strict_messages(spark, sf_dir), owners).select("id", "reason")
 
 
+@query
+def integrity_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.check_conversations(inputs.strict_conversations(spark, sf_dir)).select("id", "session_id", "reason")
+
+
 @query
 def integrity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrivals = table(spark, sf_dir, "events").selectExpr("user_id as id", "event_type", "ts as created_at")

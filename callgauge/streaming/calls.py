@@ -28,44 +28,48 @@ def start_fold(
 ) -> StreamingQuery:
     """Fold each call once it has been quiet for ``quiet`` of event time.
 
-    Chunks of open calls wait in a table between batches. Both the waiting and the
-    folding are plain joins and groupings over blocks of chunks, so one call with
-    very many chunks spreads over tasks as in the batch fold. Calls that never end
-    leave the table the same way.
+    Every chunk is written once, to the chunk table. The state is one row per call: its
+    newest chunk, and whether it changed since it was folded. A chunk that comes after
+    its call was folded makes the call open again, and the call is folded anew from all
+    its chunks; readers take the rows of a call's latest folding. So files may come in
+    any order. Folding is joins and groupings over blocks of chunks, as in the batch fold.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*CHUNK_COLUMNS)
-        waiting = snapshots.previous(spark, f"{path}/open", batch_id)
-        if waiting is not None:
-            rows = waiting.unionByName(rows)
-        # Kept for the passes below; a lost block is read again from source and table.
-        rows = rows.persist()
-        newest = rows.agg(F.max("ts"))
-        quiet_calls = (
-            rows.groupBy("call_id")
-            .agg(F.max("ts").alias("_last"))
-            .filter(F.col("_last") < newest.scalar() - F.expr(f"interval {quiet}"))
-            .select("call_id")
+        write_batch(batch.select(*CHUNK_COLUMNS), f"{path}/chunks", batch_id)
+        arrived = spark.read.parquet(f"{path}/chunks/batch_id={batch_id}")
+        changed = arrived.groupBy("call_id").agg(F.max("ts").alias("last")).withColumn("open", F.lit(True))
+        known = snapshots.previous(spark, f"{path}/state", batch_id)
+        state = changed if known is None else (
+            known.unionByName(changed).groupBy("call_id").agg(F.max("last").alias("last"), F.max("open").alias("open"))
         )
-        closing = rows.join(quiet_calls, "call_id", "left_semi")
-        table = referenced(calls(spark), "call_id", quiet_calls, "call_id")
-        write_batch(fold_calls(table, closing), f"{path}/logs", batch_id)
-        snapshots.save(rows.join(quiet_calls, "call_id", "left_anti"), f"{path}/open", batch_id)
-        rows.unpersist()
+        newest = state.agg(F.max("last"))
+        closes = F.col("open") & (F.col("last") < newest.scalar() - F.expr(f"interval {quiet}"))
+        snapshots.save(state.withColumn("closing", closes), f"{path}/turn", batch_id)
+        turn = snapshots.of_batch(spark, f"{path}/turn", batch_id)
+        closing = turn.filter("closing").select("call_id")
+        stored = spark.read.parquet(f"{path}/chunks").select(*CHUNK_COLUMNS).join(closing, "call_id", "left_semi")
+        table = referenced(calls(spark), "call_id", closing, "call_id")
+        write_batch(fold_calls(table, stored), f"{path}/logs", batch_id)
+        kept = turn.select("call_id", "last", (F.col("open") & ~F.coalesce("closing", F.lit(False))).alias("open"))
+        snapshots.save(kept, f"{path}/state", batch_id)
 
     writer = chunks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).start()
 
 
 def folded(spark: SparkSession, calls: Calls, path: str, drained: bool = False) -> DataFrame:
-    """Call log events so far; ``drained`` also folds the calls still open.
+    """Call log events so far; ``drained`` also folds the calls that are open.
 
     Use ``drained`` when the source is closed and no chunk can follow.
     """
-    done = spark.read.parquet(f"{path}/logs").drop("batch_id")
+    rows = spark.read.parquet(f"{path}/logs")
+    latest = rows.groupBy("call_id").agg(F.max("batch_id").alias("batch_id"))
+    done = rows.join(latest, ["call_id", "batch_id"]).drop("batch_id")
     if not drained:
         return done
-    rest = snapshots.latest(spark, f"{path}/open")
-    return done.unionByName(fold_calls(calls(spark), rest))
+    opened = snapshots.latest(spark, f"{path}/state").filter("open").select("call_id")
+    chunks = spark.read.parquet(f"{path}/chunks").select(*CHUNK_COLUMNS).join(opened, "call_id", "left_semi")
+    folded_now = fold_calls(calls(spark), chunks)
+    return done.join(opened, "call_id", "left_anti").select(*folded_now.columns).unionByName(folded_now)

@@ -176,3 +176,26 @@ def test_stream_equals_batch(spark, sizes, tmp_path, spread):
 
 def texts(frame) -> list[str]:
     return sorted(str(tuple(r)) for r in frame.collect())
+
+
+def test_stream_takes_files_in_any_order(spark, tmp_path):
+    """The end of a call comes after a call two hours newer; another call goes on after it was folded."""
+    hours = lambda h: START + timedelta(hours=h)
+    files = [
+        [("old", 0, hours(0), *tok("a")), ("old", 1, hours(0), *tok("b"))],
+        [("new", 0, hours(2), *tok("x")), ("new", 1, hours(2), *done(1, 1))],
+        [("old", 2, hours(0.01), *done(2, 2))],
+        [("far", 0, hours(9), *tok("q")), ("far", 1, hours(9), *done(3, 3))],
+        [("new", 2, hours(2.1), *tok("y")), ("new", 3, hours(2.1), *done(4, 4))],
+    ]
+    source = tmp_path / "in"
+    for n, part in enumerate(files):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(source / f"p{n}"))
+    batch = spark.createDataFrame([r for part in files for r in part], SCHEMA)
+    table = call_table(spark, {"old", "new", "far"})
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+    out = str(tmp_path / "out")
+    call_stream.start_fold(stream, lambda _: table, out, f"{out}/checkpoint").awaitTermination()
+    want = fold.fold_calls(table, batch)
+    assert texts(call_stream.folded(spark, lambda _: table, out, drained=True).select(*want.columns)) == texts(want)
+    assert spark.read.parquet(f"{out}/chunks").count() == batch.count()

@@ -62,3 +62,18 @@ def test_deletes(spark):
     assert {r.id: r.message_id for r in left[2].collect()} == {2: 20, 3: None, 4: None}
     linked = integrity.logs_with_reply(logs, messages.selectExpr("id", "'assistant' as role", "'hi' as content"))
     assert {r.id: r.reply for r in linked.collect()} == {1: "hi", 2: "hi", 3: "hi", 4: None}
+
+
+def test_conversation_rules(spark):
+    rows = [(1, "s", "t", None), (2, None, "t", "session_id is null"), (3, "s", None, "title is null"), (4, None, None, "session_id is null")]
+    frame = spark.createDataFrame([r[:-1] for r in rows], "id BIGINT, session_id STRING, title STRING")
+    assert {r.id: r.reason for r in integrity.check_conversations(frame).collect()} == {r[0]: r[-1] for r in rows}
+
+
+def test_rows_without_a_message_stay_out_of_the_join(spark):
+    logs = spark.createDataFrame([(k, 1, None if k % 3 else k, "m", "p", 5, "error") for k in range(30)], LOGS)
+    messages = spark.createDataFrame([(k, "assistant", f"text {k}") for k in range(0, 30, 2)], "id BIGINT, role STRING, content STRING")
+    found = integrity.logs_with_reply(logs, messages)
+    assert {r.id: r.reply for r in found.collect()} == {k: f"text {k}" if k % 6 == 0 else None for k in range(30)}
+    kept = integrity.cascade_set_null(logs, messages.select("id"))
+    assert {r.id: r.message_id for r in kept.collect()} == {k: k if k % 6 == 3 else None for k in range(30)}
