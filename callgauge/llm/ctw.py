@@ -3,10 +3,10 @@
 Each byte is eight binary decisions in a tree of 255 nodes. For every node there is a tree
 of contexts, the bytes before: a context of depth d mixes its own Krichevsky-Trofimov
 estimate with what its longer contexts say, by weights that the training texts set, and so
-all depths up to DEPTH take part. Contexts with less than a fixed share of the training
-bytes are not split off: with the rest of their kind they are one more child of the context
-that they belong to. So a model has at most 1 + DEPTH / SHARE contexts, whatever the
-corpus; what is counted for it grows with the corpus.
+all depths up to DEPTH take part. Every context that the training texts have is in the tree,
+which grows with them: it is a table, and estimates and weights are aggregations, depth by
+depth. Bytes to tell after contexts that only other texts have are in it with counts of
+zero, which change no estimate. weigh() does the same in memory, for few texts.
 
 Text is lowered in A-Z; 0xFF, which UTF-8 never has, stands before and after it.
 """
@@ -28,12 +28,13 @@ from callgauge.llm import rows
 from callgauge.llm.components import stored
 
 DEPTH = 5
-#: A context needs this share of the training bytes.
-SHARE = 2.0**-16
 #: A word of this share of the training tokens is sent to the tasks, so at most 2**20 are.
 WORD_SHARE = 2.0**-20
+#: What a gram of this share of all bytes is told with is sent to the tasks; at most 2**20 are.
+GRAM_SHARE = 2.0**-20
 EDGE = 0xFF
-DOCS, WORD, GRAM = 0, 1, 2
+#: OTHER are the grams of texts that teach nothing.
+DOCS, WORD, GRAM, OTHER = 0, 1, 2, 3
 #: Distinct counts that a task holds before it hands them on.
 HELD = 1_500_000
 #: Binary nodes that are weighed together.
@@ -71,12 +72,13 @@ def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """kind, key, n: how many texts there are, how often each word (by a 64-bit hash) and each
-    gram occurs in all of docs. Counted in the tasks first, then by key."""
+def counts(docs: DataFrame, learn: Column) -> DataFrame:
+    """kind, key, n: how many texts there are for which learn holds, how often each word (by a
+    64-bit hash) and each gram occurs in them, and each gram in the others. Counted in the
+    tasks first, then by key."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {kind: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for kind in (WORD, GRAM)}
+        held = {kind: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for kind in (WORD, GRAM, OTHER)}
         texts = 0
 
         def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -84,8 +86,10 @@ def counts(docs: DataFrame) -> DataFrame:
 
         for batch in rows.slices(batches, size=4 << 20):
             raws = [(raw or b"").lower() for raw in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
+            own = batch.column("learn").to_pylist()
+            raws, others = [raw for raw, x in zip(raws, own) if x], [raw for raw, x in zip(raws, own) if not x]
             texts += len(raws)
-            for kind, found in ((WORD, hashed([word for raw in raws for word in raw.split()])), (GRAM, grams(raws))):
+            for kind, found in ((WORD, hashed([word for raw in raws for word in raw.split()])), (GRAM, grams(raws)), (OTHER, grams(others))):
                 keys, n = np.unique(found, return_counts=True)
                 held[kind] = _sum(np.concatenate([held[kind][0], keys]), np.concatenate([held[kind][1], n]))
                 if len(held[kind][0]) >= HELD:
@@ -95,7 +99,8 @@ def counts(docs: DataFrame) -> DataFrame:
             yield out(kind, keys, n)
         yield out(DOCS, np.zeros(1, np.int64), np.array([texts], np.int64))
 
-    return rows.texts(docs).mapInArrow(work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    marked = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    return marked.mapInArrow(work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -201,21 +206,64 @@ def weigh(contexts: list[np.ndarray], cells: list[tuple[np.ndarray, np.ndarray,
     return Model(child, told[:, 256:].copy())
 
 
-def model_of(counted: DataFrame) -> Model:
-    """The model of stored counts. To the driver come only the counts of kept contexts."""
-    found = counted.where(F.col("kind") == GRAM)
-    total = found.agg(F.sum("n")).first()[0] or 0
-    contexts, cells = [], []
+def _log_gamma_of(x: Column) -> Column:
+    """_log_gamma as an expression."""
+    shift = x
+    for k in range(1, 8):
+        shift = shift * (x + k)
+    z = x + 8
+    return (z - 0.5) * F.log(z) - z + float(0.5 * np.log(2 * np.pi)) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(shift)
+
+
+def _log_kt() -> Column:
+    zeros, ones = F.col("zeros"), F.col("ones")
+    return _log_gamma_of(zeros + 0.5) + _log_gamma_of(ones + 0.5) - float(np.log(np.pi)) - _log_gamma_of(zeros + ones + 1.0)
+
+
+def _steps(found: DataFrame) -> DataFrame:
+    """A row for each binary decision of each gram: `at` is the node, below its context's bytes; `bit` the decision."""
+    byte = F.col("key").bitwiseAND(255).bitwiseOR(256)
+    below = F.explode(F.array(*[F.shiftright(byte, k) for k in range(7, -1, -1)])).alias("below")
+    node = F.shiftright("below", 1)
+    return found.select("*", below).select("*", (F.col("key") - F.col("key").bitwiseAND(255) + node).alias("at"), F.col("below").bitwiseAND(1).alias("bit")).drop("below")
+
+
+def told(counted: DataFrame) -> DataFrame:
+    """key, seen, told: log10 of the probability of each gram's byte after its context, for the
+    grams of all texts; seen is how often it occurs in them.
+
+    A node that a context of depth d has is kept as (bytes of the context, node): the lowest
+    8 * d bits and the node name its parent.
+    """
+    found = stored(
+        counted.where(F.col("kind").isin(GRAM, OTHER))
+        .groupBy("key")
+        .agg(F.sum(F.when(F.col("kind") == GRAM, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("seen")),
+        "grams",
+    )
+    # Upwards: what the longer contexts make of the counts, against the context's own estimate.
+    n, half = F.col("n").cast("double"), float(np.log(0.5))
+    last = _steps(found).groupBy("at").agg(F.sum(n * (1 - F.col("bit"))).alias("zeros"), F.sum(n * F.col("bit")).alias("ones"))
+    levels = {DEPTH: stored(last.withColumn("weighted", _log_kt()).withColumn("stop", F.lit(1.0)), "up")}
+    for depth in range(DEPTH - 1, -1, -1):
+        above = levels[depth + 1].groupBy(F.col("at").bitwiseAND((1 << 8 * (depth + 1)) - 1).alias("at"))
+        own = above.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("split")).withColumn("own", _log_kt())
+        more = F.greatest("own", "split") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("split"))))
+        stop = 1 / (1 + F.exp(F.col("split") - F.col("own")))
+        levels[depth] = stored(own.select("at", "zeros", "ones", (half + more).alias("weighted"), stop.alias("stop")), "up")
+    # Downwards: fixed is what the shorter contexts say of a one, share what is left to the longer.
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    down = None
     for depth in range(DEPTH + 1):
-        key = F.shiftright("key", 8).bitwiseAND((1 << 8 * depth) - 1)
-        keyed = found.select(key.alias("context"), F.col("key").bitwiseAND(255).alias("symbol"), "n")
-        kept = keyed.groupBy("context").agg(F.sum("n").alias("all")).where((F.col("all") >= total * SHARE) & (F.col("all") > 0)).select("context")
-        # At most 1 / SHARE contexts have their share.
-        own = keyed.join(F.broadcast(kept), "context").groupBy("context", "symbol").agg(F.sum("n").alias("n")).toArrow()
-        keys, symbol, n = (own.column(c).to_numpy() for c in ("context", "symbol", "n"))
-        cells.append((keys, symbol, n))
-        contexts.append(np.unique(keys) if depth or len(keys) else np.zeros(1, np.int64))
-    return weigh(contexts, cells)
+        level = levels[depth].select("at", (F.col("stop") * one).alias("said"), "stop")
+        if down is None:
+            down = level.select("at", F.col("said").alias("fixed"), (1 - F.col("stop")).alias("share"))
+        else:
+            parent = F.col("at").bitwiseAND((1 << 8 * depth) - 1)
+            met = level.withColumn("parent", parent).join(down.withColumnRenamed("at", "parent"), "parent")
+            down = met.select("at", (F.col("fixed") + F.col("share") * F.col("said")).alias("fixed"), (F.col("share") * (1 - F.col("stop"))).alias("share"))
+    bit = F.log10(F.when(F.col("bit") == 1, F.col("fixed")).otherwise(1 - F.col("fixed")))
+    return _steps(found).join(down.select("at", "fixed"), "at").groupBy("key").agg(F.first("seen").alias("seen"), F.sum(bit).alias("told"))
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -226,11 +274,13 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     lowered text by context-tree weighting); bits_per_byte of the latter. A null text is an
     empty one, repeated rows give a row each, and without training texts all bytes are alike.
 
-    Frequent words are looked up in the tasks; the others, of which none is in more than
-    WORD_SHARE of the tokens, meet their counts in a join.
+    Frequent words and grams are looked up in the tasks; the others, of which none is in more
+    than WORD_SHARE of the tokens or GRAM_SHARE of the bytes, meet their counts, or what they
+    are told with, in a join.
     """
     spark = docs.sparkSession
-    counted = stored(counts(docs.where(learn)), "counts")
+    counted = stored(counts(docs, learn), "counts")
+    tree = stored(told(counted), "told")
     words = counted.where(F.col("kind") == WORD)
     train_texts = counted.where(F.col("kind") == DOCS).agg(F.sum("n")).first()[0] or 0
     seen = words.agg(F.sum("n"), F.count("*")).first()
@@ -238,10 +288,13 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     frequent = words.where(F.col("n") >= max(1.0, n_tokens * WORD_SHARE)).select("key", "n").toArrow()
     keys, n = frequent.column("key").to_numpy(), frequent.column("n").to_numpy()
     order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((keys[order], np.log10(n[order] + 1.0), model_of(counted), float(np.log10(train_texts + 1.0)), train_texts > 0))
+    n_grams = tree.agg(F.sum("seen")).first()[0] or 0
+    common = tree.where(F.col("seen") >= max(1.0, n_grams * GRAM_SHARE)).select("key", "told").orderBy("key").toArrow()
+    near = common.column("key").to_numpy(), common.column("told").to_numpy()
+    sent = spark.sparkContext.broadcast((keys[order], np.log10(n[order] + 1.0), *near, float(np.log10(train_texts + 1.0)), train_texts > 0))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, model, end_log, end_known = sent.value
+        keys, logs, common, tells, end_log, end_known = sent.value
         row = TaskContext.get().partitionId() << 33
         for batch in rows.slices(batches, size=2 << 20):
             raws = [(raw or b"").lower() for raw in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
@@ -254,6 +307,12 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
             base = np.bincount(owner[known], logs[at[known]], len(raws)) + end_log
             rare = np.bincount(owner[~known], minlength=len(raws))
             offsets = np.concatenate([[0], np.cumsum(rare)]).astype(np.int32)
+            asked = grams(raws)
+            place = np.minimum(np.searchsorted(common, asked), max(0, len(common) - 1))
+            there = common[place] == asked if len(common) else np.zeros(len(asked), bool)
+            teller = np.repeat(np.arange(len(raws)), [len(raw) + 1 for raw in raws])
+            score = np.bincount(teller[there], tells[place[there]], len(raws)).astype(np.float64)
+            others = np.concatenate([[0], np.cumsum(np.bincount(teller[~there], minlength=len(raws)))]).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
                 {
                     "row": pa.array(row + np.arange(len(raws))),
@@ -261,25 +320,28 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                     "n_tokens": pa.array(sizes + 1),
                     "known": pa.array(np.bincount(owner[known], minlength=len(raws)).astype(np.int64) + int(end_known)),
                     "base": pa.array(base),
-                    "score": pa.array(model.log10(raws)),
+                    "score": pa.array(score),
                     "n_bytes": pa.array([len(raw) for raw in raws], pa.int64()),
                     "rare": pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[~known])),
+                    "grams": pa.ListArray.from_arrays(pa.array(others), pa.array(asked[~there])),
                 }
             )
             row += len(raws)
 
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>"
+    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>, grams array<long>"
     scored = stored(rows.texts(docs).mapInArrow(work, schema), "scored")
     met = scored.select("row", F.explode("rare").alias("key")).join(words.select("key", "n"), "key")
     summed = met.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_base"))
+    further = scored.select("row", F.explode("grams").alias("key")).join(tree.select("key", "told"), "key").groupBy("row").agg(F.sum("told").alias("more_score"))
     space = float(np.log10(n_tokens + n_words + 1.0))
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(space)
-    return scored.join(summed, "row", "left").select(
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    return scored.join(summed, "row", "left").join(further, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
-        F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        score.alias("score"),
+        F.when(F.col("n_bytes") > 0, -score * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -174,6 +174,27 @@ def test_weights_are_those_of_the_recursion(monkeypatch):
     assert (10.0 ** model.told.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(model.told)), abs=1e-4)
 
 
+@pytest.mark.parametrize("share", [2.0**-20, 1.0])
+def test_rare_contexts_teach(spark, monkeypatch, share):
+    """Every training context is in the tree, however small its share of the bytes."""
+    monkeypatch.setattr(ctw, "GRAM_SHARE", share)
+    rows = [(k, cases.prose(150, seed=k)) for k in range(70)] + [(k, "Zyx#9 qqW~ zyx#9") for k in (70, 71, 72, 73)] + [(80, "zyx#9 wzz"), (81, None), (81, "")]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    texts = [(t or "").encode().lower() for d, t in rows if d < 72]
+    assert 2 / sum(len(t) + 1 for t in texts) < 2.0**-16 and len(texts) == 72
+    keys, n = np.unique(ctw.grams(texts), return_counts=True)
+    contexts, cells = [], []
+    for depth in range(ctw.DEPTH + 1):
+        own = (keys >> 8) & ((1 << 8 * depth) - 1)
+        contexts.append(np.unique(own))
+        cells.append((own, keys & 255, n))
+    model = ctw.weigh(contexts, cells)
+    expected = [(d, s) for (d, _), s in zip(rows, model.log10([(t or "").encode().lower() for _, t in rows]).tolist())]
+    found = [(r["doc_id"], r["score"]) for r in ctw.score(docs, F.col("doc_id") < 72).orderBy("doc_id").collect()]
+    assert [d for d, _ in found] == [d for d, _ in expected]
+    assert [s for _, s in found] == pytest.approx([s for _, s in expected], rel=1e-4)
+
+
 def test_gradients_are_the_slopes():
     network = langid.Network(["aa", "bb"], hidden=3)
     network.weights = {k: w.astype(np.float64) for k, w in network.weights.items()}
