@@ -36,25 +36,33 @@ Items = list[tuple[str, bytes | None]]
 
 
 class Block:
-    """Windows and suffixes of some benchmark items."""
+    """Windows of some benchmark items and, if asked for, their packed words, of which
+    suffixes() are cut as they are searched."""
 
-    def __init__(self, items: Items, window: int = WINDOW):
+    def __init__(self, items: Items, window: int = WINDOW, suffixes: bool = False):
         self.number: dict[bytes, int] = {}
         self.windows: dict[bytes, set[str]] = {}
-        self.suffixes: list[tuple[str, int, bytes]] = []
+        self.packed: list[tuple[str, int, bytes]] = []
         need: dict[int, int] = {}
         for item, text in items:
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words.split(text)], dtype=">u4")
             size, packed = min(window, len(ids)), ids.tobytes()
             for start in range(len(ids) - size + 1 if size else 0):
                 self.windows.setdefault(packed[4 * start : 4 * (start + size)], set()).add(item)
-                self.suffixes.append((item, start, packed[4 * start :]))
                 need[int(ids[start])] = min(need.get(int(ids[start]), size), size)
+            if suffixes and size:
+                self.packed.append((item, len(ids) - size + 1, packed))
         #: By a word's number: words that a match beginning with it has at least.
         self.need = np.full(len(self.number) + 1, NEVER)
         for k, size in need.items():
             self.need[k] = size
 
+    def suffixes(self, most: int) -> Iterator[tuple[str, int, bytes]]:
+        """Item, place and at most `most` words of every suffix in which a window begins."""
+        for item, count, packed in self.packed:
+            for start in range(count):
+                yield item, start, packed[4 * start : 4 * (start + most)]
+
 
 class Shard:
     """Suffix array over documents; `at` are the places in suffix order."""
@@ -75,6 +83,8 @@ class Shard:
         self.place = np.flatnonzero(np.cumsum(runs)[:-1] > 0)
         text = ids[self.place]
         self.packed = text.astype(">u4").tobytes()
+        #: Words of the longest run; no match has more.
+        self.run = int(np.diff(np.flatnonzero(text == 0), prepend=-1).max(initial=1)) - 1
         rank = _ranks(text)
         places = np.flatnonzero(begins[self.place])
         self.at = places[np.argsort(rank[places], kind="stable")].tolist()
@@ -141,8 +151,9 @@ def search(texts: list[bytes | None], block: Block) -> tuple[list[int], list[lis
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Callable[[], Items]]:
-    """Loaders of the benchmark's blocks, dealt by a hash of item and text; one at least."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
+    """Loaders of the benchmark's blocks, dealt by a hash of item and text; one at least.
+    Rows that repeat are taken once."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).distinct()
     total = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64)).first()[0] or 0
     count = max(1, -(-int(total) // block_bytes))
 
@@ -226,14 +237,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     the one with the smallest doc_id and word is named."""
     spark, found = docs.sparkSession, []
     for load in blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(Block(load(), window))
+        sent = spark.sparkContext.broadcast(Block(load(), window, suffixes=True))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in rows.slices(batches, size=SHARD_BYTES):
                 ids = batch.column("doc_id").to_pylist()
                 shard = Shard(pc.cast(batch.column("text"), pa.binary()).to_pylist(), sent.value)
                 out = []
-                for item, start, key in sent.value.suffixes:
+                for item, start, key in sent.value.suffixes(max(shard.run, window)):
                     size = shard.longest(key)[0]
                     for place in shard.find(key[: 4 * size]).tolist() if size and key[: 4 * min(size, window)] in sent.value.windows else ():
                         doc = int(shard.document(np.array([place]))[0])

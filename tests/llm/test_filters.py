@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import pickle
 import re
 from collections import Counter
 
@@ -194,3 +195,17 @@ def test_query_digest(spark, tmp_path):
     found = QUERIES["op3_suffix_arrays"](spark, str(tmp_path))
     expected = [(d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), bad) for d, n, h, i, bad in marked(rows, items)]
     assert cases.rows_of(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(expected, key=str)
+
+
+def test_blocks_grow_with_the_items_words():
+    """A suffix is not stored for each word, so a block's size is linear in its longest item."""
+    sizes = [len(pickle.dumps(suffixes.Block([("long", cases.prose(n, seed=8).encode())], suffixes=True))) for n in (1000, 4000)]
+    assert sizes[1] < 6 * sizes[0]
+    block = suffixes.Block([("a", b"x y z " * 5), ("b", b"lado mira")], suffixes=True)
+    assert [(item, start, len(key)) for item, start, key in block.suffixes(14)] == [("a", 0, 56), ("a", 1, 56), ("a", 2, 52), ("b", 0, 8)]
+
+
+def test_repeated_benchmark_rows_are_loaded_once(spark):
+    rows = [("same", cases.prose(30, seed=3))] * 50 + [("other", cases.prose(30, seed=5)), (None, None)]
+    loaded = [r for load in suffixes.blocks(spark.createDataFrame(rows, "item_id string, text string"), 256) for r in load()]
+    assert sorted(loaded, key=str) == sorted({(i or "", t and t.encode()) for i, t in rows}, key=str)
