@@ -13,6 +13,7 @@ from llm import cases
 from pyspark.sql import functions as F
 
 from callgauge.llm import bagminhash, components, ctw, fm, langid, ruleensemble
+from callgauge.llm import labels as labelling
 from callgauge.llm.rows import remainder
 
 
@@ -288,3 +289,14 @@ def test_no_labels_or_one_class(spark, module):
     assert {round(r["score"], 3) for r in module.score(docs, module.fit(docs, none, "y", F.lit(True))).collect()} == {0.5}
     ones = spark.createDataFrame([(1, 1), (5, 1), (7, 0), (7, 1), (9, None)], "doc_id long, y int")
     assert {r["score"] > 0.9 for r in module.score(docs, module.fit(docs, ones, "y", F.lit(True))).collect()} == {True}
+
+
+def test_one_row_of_a_drawn_document(spark):
+    """However many rows a drawn doc_id has, the sample is bounded by doc_ids."""
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(300)] + [(2, "other"), (3, None)], cases.SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, y int")
+    found = labelling.labelled(docs, labels, "y", F.lit(True), 10)
+    assert found.columns == ["doc_id", "text", "y", "weight"]
+    got = cases.rows_of(found, "doc_id", "y", "weight")
+    assert got == [(1, 1, 1.0), (2, 0, 1.0), (3, 0, 1.0)]
+    assert found.where("doc_id = 1 and text like 'text _' or doc_id = 2 and text = 'other' or doc_id = 3 and text is null").count() == 3
