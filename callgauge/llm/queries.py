@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.llm import bagminhash, bpe, cascade, ctw, fm, langid, licenses, pfor, ruleensemble, suffixes
+from callgauge.llm import bagminhash, bpe, cascade, collocations, ctw, fm, langid, licenses, pfor, prefixtrie, repeats, ruleensemble, sql, suffixes
 from callgauge.llm.rows import remainder, table
 from callgauge.sources.workspace import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_prefix_trie": sql.OP11, "op12_collocations": sql.OP12, "op13_repeated_passages": sql.OP13}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -112,3 +112,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
+
+
+#: Conversations that share an opening, and most turns of it.
+FAMILY, HEADS = 20, 4
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, each begun as the first of its family of twenty."""
+    conv_id = F.col("conv_id")
+    heads = (F.crc32(conv_id.cast("string").cast("binary")) % HEADS).cast("int")
+    own = prefixtrie.turns(table(spark, sf_dir, "conversations"))
+    return prefixtrie.trie(prefixtrie.rebuilt(own, conv_id - conv_id % FAMILY, heads, HEADS - 1))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without passages that recur."""
+    found = repeats.deduplicate(table(spark, sf_dir, "documents"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
