@@ -59,3 +59,25 @@ def truncate(text: Column | str, limit: int) -> Column:
 def preview(text: Column | str, limit: int = PREVIEW_CHARS) -> Column:
     """Redact the whole text, then cap it; never the other way round."""
     return truncate(redact(text), limit)
+
+
+# Beginnings of a text that are tried, in code points, before the whole text is taken.
+BEGINNINGS = (1024, 16384)
+# A letter before white space, where no match reaches across: cards and phones hold no
+# letters, emails and keys no white space, and Bearer is the one word that goes on after it.
+BORDER = r"(?s)\A(.*(?<=\p{L})(?<!Bearer))(?=[ \t\r\n])"
+
+
+def preview_source(text: Column | str, limit: int = PREVIEW_CHARS) -> Column:
+    """A beginning of the text that settles its preview, whatever follows.
+
+    It ends at a border that no match crosses and has at least ``limit`` code points after
+    redaction, so every longer beginning of the text has the same preview. If the tried
+    beginnings have no such border it is the whole text.
+    """
+    source = F.col(text) if isinstance(text, str) else text
+    out = source
+    for size in reversed(BEGINNINGS):
+        start = F.regexp_extract(F.substring(source, 1, size), BORDER, 1)
+        out = F.when(F.length(source) <= size, source).when(F.length(redact(start)) >= limit, start).otherwise(out)
+    return out

@@ -8,10 +8,12 @@ move is told in ``ordered``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callgauge.functions.redaction import preview, redact
+from callgauge.functions.redaction import preview, preview_source, redact
 from callgauge.functions.times import elapsed_ms
 from callgauge.operators.ordered import block_of, in_order
 
@@ -40,18 +42,15 @@ EARLIER = (Window.unboundedPreceding, -1)
 SO_FAR = (Window.unboundedPreceding, 0)
 
 
-def _ends_before(window):
-    return F.coalesce(F.sum(_is_end().cast("bigint")).over(window.rowsBetween(*EARLIER)), F.lit(0))
-
-
-def _latest_usage(window):
-    return F.last(_usage(), ignorenulls=True).over(window.rowsBetween(*SO_FAR))
+def _chars():
+    """Code points that a chunk adds to the text of its call."""
+    return F.when(F.col("type") == "token", F.coalesce(F.length("content"), F.lit(0))).otherwise(0).cast("bigint")
 
 
 def _live(chunks: DataFrame) -> DataFrame:
     """Chunks of calls up to their first failure, by (call, block).
 
-    Adds ``block``, and the ends of the call and its latest usage in earlier blocks.
+    Adds ``block``, and the text length and latest usage of the call in earlier blocks.
     """
     rows = chunks.withColumn("block", block_of("seq"))
     earlier = Window.partitionBy(*CALL).orderBy("block").rowsBetween(*EARLIER)
@@ -59,14 +58,14 @@ def _live(chunks: DataFrame) -> DataFrame:
         rows.groupBy("call_id", "block")
         .agg(
             F.min(_failed_at()).alias("_stop"),
-            F.count_if(_is_end()).alias("_ends"),
+            F.sum(_chars()).alias("_chars"),
             F.max_by(_usage(), F.when(F.col("type") == "done", F.col("seq"))).alias("_usage"),
         )
         .select(
             "call_id",
             "block",
             F.min("_stop").over(Window.partitionBy(*CALL)).alias("_stop"),
-            F.coalesce(F.sum("_ends").over(earlier), F.lit(0)).alias("_earlier_ends"),
+            F.coalesce(F.sum("_chars").over(earlier), F.lit(0)).alias("_earlier_chars"),
             F.last("_usage", ignorenulls=True).over(earlier).alias("_earlier_usage"),
         )
         .filter(F.col("_stop").isNull() | (F.col("block") <= block_of("_stop")))
@@ -79,51 +78,62 @@ def live_chunks(chunks: DataFrame) -> DataFrame:
     return _live(chunks).select(*chunks.columns)
 
 
-def _part_aggregates() -> list:
-    """A part is the tokens up to an end, and that end."""
-    end = F.struct("seq", "type", "ts", "_usage.input_tokens", "_usage.output_tokens", "error_msg")
-    return [
-        in_order("seq", F.when(F.col("type") == "token", F.col("content"))).alias("_text"),
-        F.max_by(F.when(_is_end(), end), F.when(_is_end(), F.col("seq"))).alias("_end"),
-        F.max("seq").alias("_seq"),
-        F.max("ts").alias("_ts"),
-    ]
+def _blocks(chunks: DataFrame) -> DataFrame:
+    """One row per (call, block): its text, its ends, its last chunk.
 
-
-def _parts(chunks: DataFrame) -> DataFrame:
-    in_block = Window.partitionBy("call_id", "block").orderBy("seq")
-    numbered = (
-        _live(chunks)
-        .withColumn("part", F.col("_earlier_ends") + _ends_before(in_block))
-        .withColumn("_usage", F.coalesce(_latest_usage(in_block), "_earlier_usage"))
+    An end carries the length of the text before it instead of the text.
+    """
+    in_block = Window.partitionBy("call_id", "block").orderBy("seq").rowsBetween(*SO_FAR)
+    usage = F.coalesce(F.last(_usage(), ignorenulls=True).over(in_block), "_earlier_usage")
+    end = F.struct(
+        "seq",
+        "type",
+        "ts",
+        F.col("_usage.input_tokens").alias("input_tokens"),
+        F.col("_usage.output_tokens").alias("output_tokens"),
+        "error_msg",
+        F.col("_so_far").alias("chars"),
     )
-    blocks = numbered.groupBy("call_id", "block", "part").agg(*_part_aggregates())
     return (
-        blocks.repartition(*CALL)
-        .groupBy("call_id", "part")
+        _live(chunks)
+        .withColumn("_so_far", F.col("_earlier_chars") + F.sum(_chars()).over(in_block))
+        .withColumn("_usage", usage)
+        .groupBy("call_id", "block")
         .agg(
-            in_order("block", "_text").alias("_text"),
-            F.first("_end", ignorenulls=True).alias("_end"),
-            F.max("_seq").alias("_seq"),
-            F.max("_ts").alias("_ts"),
+            in_order("seq", F.when(F.col("type") == "token", F.col("content"))).alias("_part"),
+            F.collect_list(F.when(_is_end(), end)).alias("_ends"),
+            F.max("seq").alias("_seq"),
+            F.max("ts").alias("_ts"),
         )
     )
 
 
-def _outcomes(parts: DataFrame, include_abandoned: bool) -> DataFrame:
-    so_far = Window.partitionBy(*CALL).orderBy("part").rowsBetween(*SO_FAR)
-    whole = parts.withColumn("text", F.array_join(F.collect_list("_text").over(so_far), ""))
-    ended = F.col("_end").isNotNull()
-    keep = ended | (F.col("part") == 0) if include_abandoned else ended
-    return whole.filter(keep).select(
+def _whole_text():
+    return F.coalesce(in_order("block", "_part"), F.lit(""))
+
+
+def _ends(blocks: DataFrame, include_abandoned: bool) -> DataFrame:
+    """One row per end of a call; ``chars`` is the length of the text before it."""
+    ends = blocks.select("call_id", F.explode("_ends").alias("e")).select("call_id", "e.*")
+    if not include_abandoned:
+        return ends
+    last = blocks.groupBy(*CALL).agg(F.max("_seq").alias("seq"), F.max("_ts").alias("ts"), F.sum(F.length("_part")).alias("chars"), F.sum(F.size("_ends")).alias("n"))
+    stopped = last.filter("n = 0").drop("n").withColumn("type", F.lit("abandoned"))
+    return ends.unionByName(stopped, allowMissingColumns=True)
+
+
+def _outcomes(chunks: DataFrame, include_abandoned: bool, shortened: Callable[[Column], Column]) -> DataFrame:
+    blocks = _blocks(chunks)
+    texts = blocks.groupBy(*CALL).agg(shortened(_whole_text()).alias("text"))
+    return _ends(blocks, include_abandoned).join(texts, "call_id").select(
         "call_id",
-        F.coalesce("_end.seq", "_seq").alias("seq"),
-        F.coalesce("_end.type", F.lit("abandoned")).alias("type"),
-        F.when(ended, F.col("_end.ts")).otherwise(F.col("_ts")).alias("ts"),
-        "_end.input_tokens",
-        "_end.output_tokens",
-        "_end.error_msg",
-        "text",
+        "seq",
+        "type",
+        "ts",
+        "input_tokens",
+        "output_tokens",
+        "error_msg",
+        F.substring("text", F.lit(1), F.least("chars", F.lit(2**31 - 1)).cast("int")).alias("text"),
     )
 
 
@@ -133,12 +143,25 @@ def call_outcomes(chunks: DataFrame, include_abandoned: bool = False) -> DataFra
     ``text`` is the whole text before that end. With ``include_abandoned``, calls
     without any end give a row of type 'abandoned'.
     """
-    return _outcomes(_parts(chunks), include_abandoned)
+    return _outcomes(chunks, include_abandoned, lambda text: text)
+
+
+def previewed_outcomes(chunks: DataFrame, include_abandoned: bool = False) -> DataFrame:
+    """``call_outcomes`` with only as much of each text as its preview needs, so that a call
+    with very many ends costs no more than its text and its ends."""
+    return _outcomes(chunks, include_abandoned, preview_source)
+
+
+def call_replies(chunks: DataFrame) -> DataFrame:
+    """``finished_replies`` of the outcomes of these chunks: (call_id, reply), from one text per call."""
+    done = F.max(F.array_max(F.transform(F.filter("_ends", lambda e: e["type"] == "done"), lambda e: e["chars"])))
+    replies = _blocks(chunks).groupBy(*CALL).agg(_whole_text().alias("_text"), done.alias("_chars")).filter(F.col("_chars") > 0)
+    return replies.select("call_id", F.substring("_text", F.lit(1), F.least("_chars", F.lit(2**31 - 1)).cast("int")).alias("reply"))
 
 
 def fold_calls(calls: DataFrame, chunks: DataFrame, include_abandoned: bool = False) -> DataFrame:
     """Call log events, previews and error texts redacted."""
-    outcomes = call_outcomes(chunks, include_abandoned)
+    outcomes = previewed_outcomes(chunks, include_abandoned)
     status = (
         F.when(F.col("type") == "done", "success").when(F.col("type").isin(*FAILURES), "error").otherwise(F.col("type"))
     )

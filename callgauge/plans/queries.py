@@ -330,7 +330,7 @@ def fold_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def resolve_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = inputs.messages(spark, sf_dir).withColumn("content", F.expr("if(role = 'assistant', '', content)"))
-    replies = fold.finished_replies(fold.call_outcomes(inputs.chunks(spark, sf_dir)))
+    replies = fold.call_replies(inputs.chunks(spark, sf_dir))
     return fold.resolve_placeholders(stored, replies.withColumnRenamed("call_id", "message_id"))
 
 
