@@ -24,10 +24,12 @@ from callgauge.sources.workspace import run_folder
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Up to this length runs are counted by fingerprint; longer ones have few candidates left.
-COUNTED = 3
+COUNTED, PAIR = 3, 2
 UNKNOWN = "und"
 #: Bytes of text that a task works on at a time; one text may have more.
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: Phrases that a task of the last pass adds up before it hands them on.
+HELD = 400_000
 
 INSIDE = np.ones(256, bool)
 INSIDE[np.frombuffer(b" \t.,;:!?\n\x0b\x0c\r", np.uint8)] = False
@@ -98,16 +100,25 @@ def _codes(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("code").to_numpy().astype(np.int64).view(np.uint64)
 
 
-def _frequent(texts: DataFrame, size: int, filters: list, least: int, slice_bytes: int) -> DataFrame:
-    """Fingerprints of this many words that occur often enough; collisions only add some."""
+def _counted(texts: DataFrame, size: int, filters: list, slice_bytes: int) -> DataFrame:
+    """Counts by fingerprint of the runs of this size that may be frequent; collisions only add
+    to them. The pass over three words also tells single words that stand in a pair that may
+    be frequent, as fp with no n: no other single word is a part of a phrase."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [f.value for f in filters]
         for batch in rows.slices(batches, size=slice_bytes):
-            _, found = Slice(batch.column("text"), _codes(batch)).candidates(size, [f.value for f in filters])
+            part = Slice(batch.column("text"), _codes(batch))
+            _, found = part.candidates(size, tables)
             fp, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(rolling.signed(fp)), pa.array(n, pa.int64())], names=["fp", "n"])
+            if size == PAIR + 1:
+                pairs, found = part.candidates(PAIR, tables)
+                pairs, single = pairs[bitfilter.holds(tables[PAIR - 1], found)], part.fingerprints(1)
+                fp = np.unique(np.concatenate([single[pairs], single[pairs + 1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(rolling.signed(fp)), pa.nulls(len(fp), pa.int64())], names=["fp", "n"])
 
-    return texts.select("text", "code").mapInArrow(count, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp")
+    return texts.select("text", "code").mapInArrow(count, "fp long, n long").groupBy("fp", F.col("n").isNull().alias("single")).agg(F.sum("n").alias("n"))
 
 
 def _materialise(texts: DataFrame, filters: list, longest: int, slice_bytes: int) -> DataFrame:
@@ -115,40 +126,64 @@ def _materialise(texts: DataFrame, filters: list, longest: int, slice_bytes: int
     occurrence; k = 0 counts all words."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [f.value for f in filters]
+        tables, held = [f.value for f in filters], _Held()
         for batch in rows.slices(batches, size=slice_bytes):
             part = Slice(batch.column("text"), _codes(batch))
             w, ids = part.words, part.words.identities(LOWER_BYTES)
-            langs, doc_ids = batch.column("lang"), batch.column("doc_id")
-            total = np.add.reduceat(np.append(np.diff(w.first), 0), np.arange(batch.num_rows)) if batch.num_rows else np.zeros(0)
-            yield _phrase_rows(langs, np.zeros(batch.num_rows, np.int32), [b""] * batch.num_rows, total, doc_ids, np.zeros(batch.num_rows))
+            langs, doc_ids = batch.column("lang").to_pylist(), batch.column("doc_id").to_pylist()
+            for text, n in enumerate(np.diff(w.first).tolist()):
+                held.add(langs[text], 0, b"", n, doc_ids[text], 0)
             for size in range(1, longest + 1):
                 at, found = part.candidates(size, tables)
                 if size <= len(tables):
                     passed = bitfilter.holds(tables[size - 1], found)
                     at, found = at[passed], found[passed]
                 if len(at):
-                    rep, n = part.phrases(size, at, found, ids)
-                    text = pa.array(w.text[rep])
-                    yield _phrase_rows(langs.take(text), np.full(len(rep), size), part.read(size, rep), n, doc_ids.take(text), rep - w.first[w.text[rep]])
+                    rep, count = part.phrases(size, at, found, ids)
+                    texts, words = w.text[rep], rep - w.first[w.text[rep]]
+                    for phrase, n, text, word in zip(part.read(size, rep), count.tolist(), texts.tolist(), words.tolist()):
+                        held.add(langs[text], size, phrase, n, doc_ids[text], word)
+            if len(held.counts) >= HELD:
+                yield held.hand_on()
+        yield held.hand_on()
 
     return texts.mapInArrow(read, "lang string, k int, phrase binary, n long, doc_id long, word long")
 
 
-def _phrase_rows(lang, k, phrase, n, doc_id, word) -> pa.RecordBatch:
-    columns = [lang, pa.array(k, pa.int32()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64()), doc_id, pa.array(word, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "n", "doc_id", "word"])
+class _Held:
+    """Counts and first places of phrases that a task has met since it last handed on."""
+
+    def __init__(self):
+        self.counts: dict[tuple[str, int, bytes], int] = {}
+        self.places: dict[tuple[str, int, bytes], tuple[bool, int, int]] = {}
+
+    def add(self, lang: str, size: int, phrase: bytes, n: int, doc_id: int | None, word: int) -> None:
+        key, place = (lang, size, phrase), (doc_id is None, doc_id or 0, word)
+        self.counts[key] = self.counts.get(key, 0) + n
+        self.places[key] = min(place, self.places.get(key, place))
+
+    def hand_on(self) -> pa.RecordBatch:
+        langs, sizes, phrase = zip(*self.counts) if self.counts else ((), (), ())
+        doc_ids = [None if none else doc_id for none, doc_id, _ in self.places.values()]
+        words = [word for _, _, word in self.places.values()]
+        columns = [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrase, pa.binary()), pa.array(self.counts.values(), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(words, pa.int64())]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "n", "doc_id", "word"])
 
 
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, slice_bytes: int = SLICE, bits: int = bitfilter.BITS) -> DataFrame:
-    """lang, k, phrase, f of all phrases of 1 to `longest` words with f >= least, and where the
-    first one stands (doc_id, word; of several the smallest, no id last). A row with k = 0 and
-    an empty phrase has the number of all words of a language."""
+    """lang, k, phrase, f of all phrases of 2 to `longest` words with f >= least and of all words
+    in them (k = 1), and where the first one stands (doc_id, word; of several the smallest, no
+    id last). A row with k = 0 and an empty phrase has the number of all words of a language."""
     spark, texts, filters = docs.sparkSession, _texts(docs), []
-    for size in range(1, min(COUNTED, longest) + 1):
+    for size in range(1, COUNTED + 1):
         folder = run_folder(spark, f"phrases{size}")
-        _frequent(texts, size, filters, least, slice_bytes).write.parquet(folder)
-        filters.append(spark.sparkContext.broadcast(bitfilter.build(spark.read.parquet(folder), bits=bits)))
+        counts = _counted(texts, size, filters, slice_bytes)
+        counts.where(F.col("single") | (F.col("n") >= least)).write.parquet(folder)
+        frequent = spark.read.parquet(folder)
+        filters.append(spark.sparkContext.broadcast(bitfilter.build(frequent.where("not single"), bits=bits)))
+    words = spark.sparkContext.broadcast(bitfilter.build(frequent.where("single"), bits=bits))
+    filters[0] = words  # from here on words outside all frequent pairs don't count
     found = _materialise(texts, filters, longest, slice_bytes)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "word")
     counted = found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"), F.min(place).alias("place"))

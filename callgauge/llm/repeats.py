@@ -33,7 +33,7 @@ from callgauge.sources.workspace import run_folder
 
 WINDOW, ANCHOR = 35, 6
 #: Bytes of text that a task works on at a time; one text may have more.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Anchors of a shard on average; a shard of four times as many is split.
 SHARD = 16_384
 #: Split shards are told to all tasks up to this number, some 2 MB; beyond it they are joined.
