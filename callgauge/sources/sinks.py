@@ -56,14 +56,14 @@ def new_logs(events: DataFrame, now: datetime | Column | None = None) -> DataFra
     )
 
 
-def laid_out(logs: DataFrame, *folders: str) -> DataFrame:
-    """Call logs ready to be written under ``folders``.
+def laid_out(logs: DataFrame, *folders: str, order: str = "conversation_id") -> DataFrame:
+    """Rows ready to be written under ``folders``.
 
     Rows of one folder meet in few tasks, so it gets few files; a folder with very
-    many rows is split again by size at run time. Within a file rows are in order
-    of conversation, so a lookup of one skips row groups.
+    many rows is split again by size at run time. Within a file rows are in ``order``,
+    by conversation, so a lookup of one skips row groups.
     """
-    return logs.hint("rebalance", *folders).sortWithinPartitions(*folders, "conversation_id")
+    return logs.hint("rebalance", *folders).sortWithinPartitions(*folders, order)
 
 
 def append_by_date(logs: DataFrame, path: str) -> None:
@@ -73,8 +73,8 @@ def append_by_date(logs: DataFrame, path: str) -> None:
     laid_out(logs, "log_date").write.mode("append").partitionBy("log_date").parquet(path)
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int, *folders: str) -> None:
+def write_batch(rows: DataFrame, path: str, batch_id: int, *folders: str, order: str = "conversation_id") -> None:
     """Write the rows of one micro-batch; a repeated batch replaces its own folder."""
     if folders:
-        rows = laid_out(rows, *folders)
+        rows = laid_out(rows, *folders, order=order)
     rows.write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/batch_id={batch_id}")

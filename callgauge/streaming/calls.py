@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,44 @@ from pyspark.sql.streaming import StreamingQuery
 from callgauge.operators.fold import fold_calls
 from callgauge.operators.frames import CHUNK_COLUMNS
 from callgauge.sources.sinks import write_batch
-from callgauge.streaming import snapshots
 from callgauge.streaming.ingest import DRAIN, Trigger
 from callgauge.streaming.lookup import referenced
+from callgauge.streaming.openchunks import PROVIDER, PROVIDER_KEY, closed_chunks, unpacked
 
 Calls = Callable[[SparkSession], DataFrame]
 
+#: Folders that given-out chunks are dealt to by call, so that a call's earlier ones are found.
+BUCKETS = 64
+
+
+@contextmanager
+def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The provider that keyed state needs, for what is started or read inside."""
+    before = spark.conf.get(PROVIDER_KEY, None)
+    spark.conf.set(PROVIDER_KEY, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER_KEY, before) if before else spark.conf.unset(PROVIDER_KEY)
+
+
+def _ms(spark: SparkSession, interval: str) -> int:
+    return int(spark.sql(f"select unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {interval})").first()[0])
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("call_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _given_before(spark: SparkSession, path: str, calls: DataFrame, batch_id: int | None = None) -> DataFrame:
+    """Chunks of ``calls(call_id)`` given out in other batches; only their folders are read."""
+    keyed = calls.withColumn("bucket", _bucket())
+    buckets = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # BUCKETS rows at most
+    stored = spark.read.parquet(f"{path}/chunks").filter(F.col("bucket").isin(buckets))
+    if batch_id is not None:
+        stored = stored.filter(F.col("batch_id") != batch_id)
+    return stored.join(calls, "call_id", "left_semi").select(*CHUNK_COLUMNS)
+
 
 def start_fold(
     chunks: DataFrame,
@@ -25,51 +58,64 @@ def start_fold(
     checkpoint: str,
     quiet: str = "30 minutes",
     trigger: Trigger = DRAIN,
+    remember: str = "7 days",
 ) -> StreamingQuery:
     """Fold each call once it has been quiet for ``quiet`` of event time.
 
-    Every chunk is written once, to the chunk table. The state is one row per call: its
-    newest chunk, and whether it changed since it was folded. A chunk that comes after
-    its call was folded makes the call open again, and the call is folded anew from all
-    its chunks; readers take the rows of a call's latest folding. So files may come in
-    any order. Folding is joins and groupings over blocks of chunks, as in the batch fold.
+    Chunks wait in keyed state of the state store, by call and block of sequence numbers, and
+    leave it when their block is quiet; a batch reads the chunks it brings and those it gives
+    out, whatever came before. Given-out chunks are written once, to the chunk table. If a
+    call has had chunks given out before (late ones came, or it has several blocks), it is
+    folded anew from all of its chunks, which are looked up in the folders of these calls;
+    readers take the rows of a call's latest folding. So files may come in any order. That
+    chunks were given out is remembered for ``remember`` of event time; a chunk later than
+    that is folded alone. Folding is joins and groupings over blocks of chunks, as in the
+    batch fold.
     """
+    session = chunks.sparkSession
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch(batch.select(*CHUNK_COLUMNS), f"{path}/chunks", batch_id)
-        arrived = spark.read.parquet(f"{path}/chunks/batch_id={batch_id}")
-        changed = arrived.groupBy("call_id").agg(F.max("ts").alias("last")).withColumn("open", F.lit(True))
-        known = snapshots.previous(spark, f"{path}/state", batch_id)
-        state = changed if known is None else (
-            known.unionByName(changed).groupBy("call_id").agg(F.max("last").alias("last"), F.max("open").alias("open"))
-        )
-        newest = state.agg(F.max("last"))
-        closes = F.col("open") & (F.col("last") < newest.scalar() - F.expr(f"interval {quiet}"))
-        snapshots.save(state.withColumn("closing", closes), f"{path}/turn", batch_id)
-        turn = snapshots.of_batch(spark, f"{path}/turn", batch_id)
-        closing = turn.filter("closing").select("call_id")
-        stored = spark.read.parquet(f"{path}/chunks").select(*CHUNK_COLUMNS).join(closing, "call_id", "left_semi")
-        table = referenced(calls(spark), "call_id", closing, "call_id")
-        write_batch(fold_calls(table, stored), f"{path}/logs", batch_id)
-        kept = turn.select("call_id", "last", (F.col("open") & ~F.coalesce("closing", F.lit(False))).alias("open"))
-        snapshots.save(kept, f"{path}/state", batch_id)
-
-    writer = chunks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return writer.trigger(**trigger).start()
-
-
-def folded(spark: SparkSession, calls: Calls, path: str, drained: bool = False) -> DataFrame:
+        packed = unpacked(batch, "block", "again").withColumn("bucket", _bucket())
+        write_batch(packed, f"{path}/chunks", batch_id, "bucket", order="call_id")
+        arrived = spark.read.schema(packed.schema).parquet(f"{path}/chunks/batch_id={batch_id}")
+        several = arrived.filter("block > 0").select("call_id").distinct()
+        if batch_id == 0 or not several.isEmpty():
+            write_batch(several, f"{path}/long", batch_id)
+        known = spark.read.parquet(f"{path}/long").select("call_id")
+        again = arrived.filter("again").select("call_id").unionByName(known.join(arrived, "call_id", "left_semi")).distinct()
+        rows = arrived.select(*CHUNK_COLUMNS)
+        if not again.isEmpty():
+            rows = rows.unionByName(_given_before(spark, path, again, batch_id))
+        table = referenced(calls(spark), "call_id", arrived.select("call_id").distinct(), "call_id")
+        write_batch(fold_calls(table, rows), f"{path}/logs", batch_id)
+
+    closed = closed_chunks(chunks, _ms(session, quiet), _ms(session, remember))
+    writer = closed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    with _state_in_rocksdb(session):
+        return writer.trigger(**trigger).start()
+
+
+def open_chunks(spark: SparkSession, checkpoint: str, path: str) -> DataFrame:
+    """Chunks that wait in the state of a stream that has stopped, written to ``path``."""
+    with _state_in_rocksdb(spark):
+        held = spark.read.format("statestore").option("stateVarName", "chunks").load(checkpoint)
+        unpacked(held.select("key.call_id", "list_element.*")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def folded(spark: SparkSession, calls: Calls, path: str, drained: bool = False, checkpoint: str | None = None) -> DataFrame:
     """Call log events so far; ``drained`` also folds the calls that are open.
 
-    Use ``drained`` when the source is closed and no chunk can follow.
+    Use ``drained`` when the source is closed and no chunk can follow. ``checkpoint`` is that
+    of the stream, by default the folder of this name in ``path``.
     """
     rows = spark.read.parquet(f"{path}/logs")
     latest = rows.groupBy("call_id").agg(F.max("batch_id").alias("batch_id"))
     done = rows.join(latest, ["call_id", "batch_id"]).drop("batch_id")
     if not drained:
         return done
-    opened = snapshots.latest(spark, f"{path}/state").filter("open").select("call_id")
-    chunks = spark.read.parquet(f"{path}/chunks").select(*CHUNK_COLUMNS).join(opened, "call_id", "left_semi")
-    folded_now = fold_calls(calls(spark), chunks)
+    waiting = open_chunks(spark, checkpoint or f"{path}/checkpoint", f"{path}/open")
+    opened = waiting.select("call_id").distinct()
+    folded_now = fold_calls(calls(spark), waiting.unionByName(_given_before(spark, path, opened)))
     return done.join(opened, "call_id", "left_anti").select(*folded_now.columns).unionByName(folded_now)
