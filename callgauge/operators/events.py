@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.operators.fold import live_chunks
-from callgauge.operators.frames import END_OF_STREAM, data_lines, with_json
+from callgauge.operators.frames import END_OF_STREAM, Rules, counted_lines, packed_lines
 from callgauge.operators.ordered import block_of, in_order
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -38,9 +38,8 @@ def chat_events_parse(captures: DataFrame) -> DataFrame:
     Content is the text of all tokens, error the last error message. Reading ends
     at [DONE], or at an event that is not JSON, which is an error too.
     """
-
-    broken = F.col("data").isNotNull() & F.col("json").isNull()
-    read = _read(data_lines(captures, with_json, broken))
+    rules = {"app": _rules()}
+    read = counted_lines(packed_lines(captures, rules), rules).select("call_id", "line", "out.*")
     last_error = F.max_by("error", F.when(F.col("error").isNotNull(), F.col("line"))).alias("error")
     # Texts first meet within blocks of lines; a call's blocks and errors are one row each.
     parts = read.groupBy("call_id", block_of("line").alias("_block")).agg(
@@ -49,16 +48,16 @@ def chat_events_parse(captures: DataFrame) -> DataFrame:
     return parts.groupBy("call_id").agg(in_order("_block", "_part").alias("content"), F.max_by("error", "_at").alias("error"))
 
 
-def _read(lines: DataFrame) -> DataFrame:
+def _rules() -> Rules:
     def text(path: str) -> Column:
         return F.try_variant_get("json", path, "string")
 
-    return lines.filter(F.col("data").isNull() | (F.col("data") != END_OF_STREAM)).select(
-        "call_id",
-        "line",
-        F.when(text("$.type") == "token", text("$.content")).alias("content"),
+    content = F.when(text("$.type") == "token", text("$.content"))
+    error = (
         F.when(F.col("failure").isNotNull(), F.col("failure"))
         .when(F.col("json").isNull(), "malformed event")
         .when(text("$.type") == "error", text("$.message"))
-        .alias("error"),
     )
+    counts = F.col("data").isNull() | (F.col("data") != END_OF_STREAM)
+    out = F.when(counts, F.struct(content.alias("content"), error.alias("error")))
+    return Rules(out, F.col("data").isNotNull() & F.col("json").isNull())

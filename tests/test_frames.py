@@ -188,3 +188,33 @@ def test_client_events(spark, sizes, cut):
         "empty": ("", None),
         "tail": ("a", None),
     }
+
+
+def test_a_return_before_the_end_of_a_frame_is_part_of_the_line(spark, sizes):
+    """``[DONE]`` and a return before a blank line is no end but a broken line; inside a frame
+    it ends the call. Also where the next line is in another block or piece."""
+    broken = ("error", "malformed stream chunk: invalid JSON")
+    calls = {
+        "frame": [data(token("a")) + b"data: [DONE]\r\n\n" + data(token("b"))],
+        "inside": [data(token("a")) + b"data: [DONE]\r\nid: 1\n\n" + data(token("b"))],
+        "plain": [data(token("a")) + b"data: [DONE]\n\n" + data(token("b"))],
+    }
+    for lines in range(1, 6):
+        calls[f"far {lines}"] = [b": x\n" * lines + b"data: [DONE]\r\n", b"\n", data(token("b"))]
+        calls[f"near {lines}"] = [b": x\n" * lines + b"data: [DONE]\r\n", b"id: 1\n\n", data(token("b"))]
+    got = chunks(frames.frames_openai(captures(spark, calls)))
+    assert got["frame"] == [("token", "a"), broken, ("token", "b")]
+    assert got["inside"] == got["plain"] == [("token", "a")]
+    for lines in range(1, 6):
+        assert got[f"far {lines}"] == [broken, ("token", "b")] and f"near {lines}" not in got
+
+
+def test_captures_are_read_once(spark, tmp_path):
+    """All providers and refused requests from one scan, lines put together once."""
+    path = str(tmp_path / "captures")
+    captures(spark, {"a": [data(token("x"))], "b": [data(token("y"))]}).write.parquet(path)
+    found = frames.frames(spark.read.parquet(path))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert final.count("FileScan") == 1 and final.count("posexplode") == 1
