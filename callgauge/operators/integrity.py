@@ -58,8 +58,17 @@ def check_logs(logs: DataFrame, conversations: DataFrame, messages: DataFrame) -
 
 
 def check_messages(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """Messages with ``reason``: NULL where the row may be stored."""
-    flagged = _matched(messages, "conversation_id", conversations, "_conversation")
+    """Messages with ``reason``: NULL where the row may be stored.
+
+    Messages that name a session_id may only go to a conversation of that session; another's
+    looks like a missing one.
+    """
+    if "session_id" in messages.columns:
+        keys = ["conversation_id", "session_id"]
+        owned = conversations.select(F.col("id").alias("conversation_id"), "session_id").distinct().withColumn("_conversation", F.lit(True))
+        flagged = messages.join(owned, keys, "left").withColumn("_conversation", F.coalesce("_conversation", F.lit(False)))
+    else:
+        flagged = _matched(messages, "conversation_id", conversations, "_conversation")
     reason = F.coalesce(
         _first_null(MESSAGE_REQUIRED),
         F.when(~F.col("role").isin(*ROLES), F.lit("role not allowed")),

@@ -129,6 +129,23 @@ def strict_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as clients send them: some break a rule, some come twice, in the same words or
+    in others, some name a session that isn't the conversation's."""
+    sent = strict_messages(spark, sf_dir).drop("created_at")
+    sent = sent.withColumn("session_id", F.expr("if(id % 11 = 4, conversation_id + 1, conversation_id) % 10"))
+    again = sent.filter("id % 4 = 1").withColumn("content", F.expr("if(id % 3 = 0, content, concat(content, ' ~'))"))
+    return sent.unionByName(again)
+
+
+def event_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Three long conversations, made of all events, and their messages."""
+    told = table(spark, sf_dir, "events").selectExpr(
+        "event_id as id", "user_id % 3 as conversation_id", "'user' as role", "event_type as content", "ts as created_at"
+    )
+    return told.select(F.col("conversation_id").alias("id")).distinct(), told
+
+
 def deleted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delete requests: ids that the label table calls toxic."""
     return table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")).distinct()

@@ -395,11 +395,17 @@ ORACLE: dict[str, str] = {
         SELECT event_id AS request_id, user_id AS conversation_id, event_id % 10 AS session_id,
                EXISTS (SELECT 1 FROM conv WHERE conv.id = user_id AND conv.session_id = event_id % 10) AS found
         FROM events""",
-    "conversation_detail": f"""{with_(CONVERSATIONS, MESSAGES, HISTORY)}
-        SELECT c.id, c.title, c.created_at, CAST(coalesce((
+    "conversation_history": """
+        SELECT conversation_id AS id, count(*) AS n_messages,
+               string_agg(event_id || ':' || event_type, ',' ORDER BY ts, event_id) AS messages
+        FROM (SELECT *, user_id % 3 AS conversation_id FROM events
+              QUALIFY row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts DESC, event_id DESC) <= 200)
+        GROUP BY conversation_id""",
+    "conversation_detail": f"""{with_(CONVERSATIONS, MESSAGES, LOGS, TITLED, ACTIVITY, HISTORY)}
+        SELECT c.id, c.title, c.created_at, c.updated_at, CAST(coalesce((
           SELECT to_json(list({{'id': s.id, 'role': s.role, 'content': s.content, 'created_at': s.at}} ORDER BY s.created_at, s.id))
           FROM shown s WHERE s.conversation_id = c.id), '[]') AS VARCHAR) AS messages
-        FROM conv c""",
+        FROM activity c""",
     "resume_view": f"""{with_(CONVERSATIONS, MESSAGES, HISTORY)}
         SELECT c.id, CAST(coalesce((
           SELECT to_json(list({{'id': s.id, 'role': s.role, 'content': s.content, 'created_at': s.at}} ORDER BY s.created_at, s.id))
@@ -448,6 +454,32 @@ ORACLE: dict[str, str] = {
     "open_conversations": f"""
         SELECT user_id AS session_id, 'New conversation' AS title, {AS_OF} AS created_at, {AS_OF} AS updated_at
         FROM events WHERE event_type = 'signup'""",
+    "store_conversations": f"""
+        SELECT nullif(user_id % 7, 3) AS session_id, 'New conversation' AS title, {AS_OF} AS created_at, {AS_OF} AS updated_at,
+               CASE WHEN user_id % 7 = 3 THEN 'session_id is null' END AS reason,
+               CASE WHEN user_id % 7 = 3 THEN 'refused' ELSE 'stored' END AS outcome
+        FROM events WHERE event_type = 'signup'""",
+    "store_messages": f"""{with_(CONVERSATIONS, MESSAGES)},
+        first AS (
+          SELECT id, conversation_id, CASE WHEN id % 8 = 5 THEN 'tool' ELSE role END AS role, nullif(content, '') AS content,
+                 (CASE WHEN id % 11 = 4 THEN conversation_id + 1 ELSE conversation_id END) % 10 AS session_id FROM msg),
+        sent AS (
+          SELECT * FROM first UNION ALL
+          SELECT id, conversation_id, role, CASE WHEN id % 3 = 0 THEN content ELSE content || ' ~' END, session_id
+          FROM first WHERE id % 4 = 1),
+        batches AS (SELECT *, conversation_id % 3 AS batch FROM sent UNION ALL SELECT *, 3 FROM sent WHERE id % 5 = 0),
+        ruled AS (
+          SELECT batches.*, CASE WHEN content IS NULL THEN 'content is null' WHEN role NOT IN ('user', 'assistant', 'system') THEN 'role not allowed'
+                 WHEN c.id IS NULL THEN 'conversation not found' END AS rule
+          FROM batches LEFT JOIN conv c ON c.id = conversation_id AND c.session_id = batches.session_id),
+        good AS (SELECT batch, id, content, count(*) AS copies FROM ruled WHERE rule IS NULL GROUP BY ALL),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY batch, id ORDER BY content) AS place, min(batch) OVER (PARTITION BY id) < batch AS taken FROM good)
+        SELECT CAST(id AS VARCHAR) AS id, content, 'refused' AS outcome, rule AS reason, 1 AS copies FROM ruled WHERE rule IS NOT NULL
+        UNION ALL SELECT CAST(id AS VARCHAR), content, 'refused', 'id taken', copies FROM placed WHERE taken
+        UNION ALL SELECT CAST(id AS VARCHAR), content, 'stored', NULL, 1 FROM placed WHERE NOT taken AND place = 1
+        UNION ALL SELECT CAST(id AS VARCHAR), content, 'refused', 'id repeated', copies - (place = 1)::INT FROM placed
+        WHERE NOT taken AND copies > (place = 1)::INT""",
     "append_messages": f"""{with_(MESSAGES)}
         SELECT CASE WHEN role <> 'user' THEN CAST(id AS VARCHAR) END AS id, conversation_id, role, content,
                {AS_OF} AS created_at FROM msg""",

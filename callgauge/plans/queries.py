@@ -15,7 +15,7 @@ from callgauge.operators import conversations as conv
 from callgauge.operators import events, fold, frames, integrity, metrics, prompts
 from callgauge.plans import inputs
 from callgauge.plans.inputs import AS_OF, table
-from callgauge.sources import sinks
+from callgauge.sources import keyed, sinks
 from callgauge.sources.workspace import run_folder
 from callgauge.streaming import calls as call_stream
 from callgauge.streaming import ingest, live
@@ -178,8 +178,16 @@ def _history_json() -> Column:
 
 @query
 def conversation_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    detail = conv.conversation_detail(inputs.conversations(spark, sf_dir), inputs.messages(spark, sf_dir))
-    return detail.select("id", "title", "created_at", _history_json().alias("messages"))
+    detail = conv.conversation_detail(_state(spark, sf_dir), inputs.messages(spark, sf_dir))
+    return detail.select("id", "title", "created_at", "updated_at", _history_json().alias("messages"))
+
+
+@query
+def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations far longer than what a resumed chat shows."""
+    detail = conv.conversation_detail(*inputs.event_history(spark, sf_dir))
+    shown = F.transform("messages", lambda m: F.concat_ws(":", m["id"].cast("string"), m["content"]))
+    return detail.select("id", F.size("messages").cast("bigint").alias("n_messages"), F.array_join(shown, ",").alias("messages"))
 
 
 @query
@@ -272,6 +280,26 @@ def open_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).drop("id")
 
 
+@query
+def store_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages sent in three batches, the last one twice: what was stored and what refused."""
+    path = run_folder(spark, "messages")
+    sent, owners = inputs.sent_messages(spark, sf_dir), inputs.conversations(spark, sf_dir)
+    for batch in (0, 1, 2, 2):
+        keyed.store_messages(sent.filter(F.col("conversation_id") % 3 == batch), owners, path, batch, AS_OF)
+    keyed.store_messages(sent.filter("id % 5 = 0"), owners, path, 3, AS_OF)
+    return keyed.message_outcomes(spark, path).select("id", "content", "outcome", "reason", "copies")
+
+
+@query
+def store_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations asked for by every signup; some requests name no session."""
+    requests = table(spark, sf_dir, "events").filter("event_type = 'signup'").selectExpr("nullif(user_id % 7, 3) as session_id")
+    path = run_folder(spark, "conversations")
+    keyed.store_conversations(requests, path, 0, AS_OF)
+    return spark.read.parquet(path).select("session_id", "title", "created_at", "updated_at", "reason", "outcome")
+
+
 @query
 def append_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.messages(spark, sf_dir).withColumn("id", F.expr("if(role = 'user', null, id)"))

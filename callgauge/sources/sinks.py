@@ -37,7 +37,7 @@ def open_conversations(requests: DataFrame, now: datetime | Column | None = None
     )
 
 
-def new_messages(rows: DataFrame, now: datetime | Column | None = None) -> DataFrame:
+def new_messages(rows: DataFrame, now: datetime | Column | None = None, *more: str) -> DataFrame:
     """Messages to append: a given id is kept, a missing one is generated."""
     return rows.select(
         F.coalesce(F.col("id").cast("string"), F.expr("uuid()")).alias("id"),
@@ -45,6 +45,7 @@ def new_messages(rows: DataFrame, now: datetime | Column | None = None) -> DataF
         "role",
         "content",
         as_of_column(now).alias("created_at"),
+        *more,
     )
 
 
