@@ -448,6 +448,12 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'log', id FROM log WHERE conversation_id NOT IN {TOXIC}""",
     "cascade_set_null": f"""{with_(LOGS)}
         SELECT id, conversation_id, CASE WHEN message_id NOT IN {POOR} THEN message_id END AS message_id FROM log""",
+    "stored_deletes": f"""{with_(CONVERSATIONS, MESSAGES, LOGS)}
+        SELECT 'conversation' AS kind, id, CAST(NULL AS BIGINT) AS message_id FROM conv WHERE id NOT IN {TOXIC}
+        UNION ALL SELECT 'message', id, NULL FROM msg WHERE conversation_id NOT IN {TOXIC} AND id NOT IN {POOR}
+        UNION ALL SELECT 'log', id, CASE WHEN message_id NOT IN {POOR}
+          AND message_id NOT IN (SELECT id FROM msg WHERE conversation_id IN {TOXIC}) THEN message_id END
+        FROM log WHERE conversation_id NOT IN {TOXIC}""",
     "logs_with_reply": f"""{with_(MESSAGES, LOGS)}
         SELECT log.id, log.message_id, log.status, msg.role AS reply_role, msg.content AS reply
         FROM log LEFT JOIN msg ON msg.id = log.message_id""",
@@ -527,3 +533,6 @@ ORACLE: dict[str, str] = {
         FROM log ORDER BY created_at DESC, id DESC LIMIT 100""",
     "stream_fold": f"{with_(MESSAGES, REPLIES, CHUNKS, OUTCOMES, FOLDED)} SELECT * FROM folded",
 }
+
+# The stored table read back is the frame with its replies filled in.
+ORACLE["stored_replies"] = ORACLE["resolve_placeholders"]

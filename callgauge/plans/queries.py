@@ -15,7 +15,7 @@ from callgauge.operators import conversations as conv
 from callgauge.operators import events, fold, frames, integrity, metrics, prompts
 from callgauge.plans import inputs
 from callgauge.plans.inputs import AS_OF, table
-from callgauge.sources import keyed, sinks
+from callgauge.sources import keyed, rewritten, sinks
 from callgauge.sources.workspace import run_folder
 from callgauge.streaming import calls as call_stream
 from callgauge.streaming import ingest, live
@@ -272,6 +272,31 @@ def logs_with_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources and sinks
 
 
+@query
+def stored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message table itself, after finished replies were written into its placeholders."""
+    path = run_folder(spark, "messages")
+    rewritten.create(inputs.messages(spark, sf_dir).withColumn("content", F.expr("if(role = 'assistant', '', content)")), path, "conversation_id")
+    replies = run_folder(spark, "replies")
+    fold.call_replies(inputs.chunks(spark, sf_dir)).withColumnRenamed("call_id", "message_id").write.parquet(replies)
+    rewritten.fill_placeholders(spark, path, spark.read.parquet(replies))
+    return rewritten.read(spark, path)
+
+
+@query
+def stored_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stored tables hold after conversations and then messages were deleted from them."""
+    path = run_folder(spark, "deletes")
+    tables = {"conversation": inputs.conversations, "message": inputs.messages, "log": inputs.logs}
+    at = {kind: f"{path}/{kind}" for kind in tables}
+    for kind, rows in tables.items():
+        rewritten.create(rows(spark, sf_dir), at[kind], "id" if kind == "conversation" else "conversation_id")
+    rewritten.delete_conversations(spark, inputs.deleted_conversations(spark, sf_dir), at["conversation"], at["message"], at["log"])
+    rewritten.delete_messages(spark, inputs.deleted_messages(spark, sf_dir), at["message"], at["log"])
+    link = {"log": F.col("message_id")}
+    return _all([rewritten.read(spark, at[kind]).select(F.lit(kind).alias("kind"), "id", link.get(kind, F.lit(None).cast("bigint")).alias("message_id")) for kind in tables])
+
+
 @query
 def open_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.col("user_id").alias("session_id"))
