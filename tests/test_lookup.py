@@ -1,0 +1,45 @@
+"""A micro-batch reads owner tables in proportion to its keys."""
+
+from __future__ import annotations
+
+import glob
+import re
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from callgauge.streaming import lookup
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_the_range_of_the_keys_goes_down_to_the_files(spark, tmp_path, kind):
+    path = str(tmp_path / "owners")
+    ids = spark.range(100_000).select(F.format_string("%08d", "id").cast(kind).alias("id"), F.lit("x").alias("title"))
+    ids.repartitionByRange(20, "id").sortWithinPartitions("id").write.parquet(path)
+    table = spark.read.parquet(path)
+    batch = ids.filter("cast(id as bigint) between 40100 and 40200").select(F.col("id").alias("conversation_id")).unionByName(spark.createDataFrame([(None,)], f"conversation_id {kind}"))
+    found = lookup.referenced(table.select("id"), "id", batch, "conversation_id")
+    assert found.count() == 101
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
+    low, high = ("40100", "40200") if kind == "bigint" else ("00040100", "00040200")
+    assert f"GreaterThanOrEqual(id,{low})" in pushed and f"LessThanOrEqual(id,{high})" in pushed
+    # The files hold 5,000 ids each, in order: by their statistics one or two can have such ids.
+    bounds = [pq.read_metadata(f).row_group(0).column(0).statistics for f in glob.glob(f"{path}/*.parquet")]
+    keys = (int(low), int(high)) if kind == "bigint" else (low, high)
+    assert sum(s.min <= keys[1] and s.max >= keys[0] for s in bounds) <= 2 < len(bounds)
+
+
+@pytest.mark.parametrize("limit, size", [(0, 1 << 24), (200_000, 0)])
+def test_a_batch_with_too_many_keys_goes_without_broadcast(spark, monkeypatch, limit, size):
+    monkeypatch.setattr(lookup, "BROADCAST_KEYS", limit)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", size)
+    table = spark.range(10).toDF("id")
+    found = lookup.referenced(table, "id", spark.createDataFrame([(3,), (5,)], "k long"), "k")
+    assert [r.id for r in found.collect()] == [3, 4, 5]
+
+
+def test_a_batch_without_keys_refers_to_nothing(spark):
+    table = spark.range(10).toDF("id")
+    assert lookup.referenced(table, "id", spark.createDataFrame([(None,)], "k long"), "k").count() == 0
