@@ -112,28 +112,29 @@ def _whole_text():
     return F.coalesce(in_order("block", "_part"), F.lit(""))
 
 
-def _ends(blocks: DataFrame, include_abandoned: bool) -> DataFrame:
-    """One row per end of a call; ``chars`` is the length of the text before it."""
-    ends = blocks.select("call_id", F.explode("_ends").alias("e")).select("call_id", "e.*")
-    if not include_abandoned:
-        return ends
-    last = blocks.groupBy(*CALL).agg(F.max("_seq").alias("seq"), F.max("_ts").alias("ts"), F.sum(F.length("_part")).alias("chars"), F.sum(F.size("_ends")).alias("n"))
-    stopped = last.filter("n = 0").drop("n").withColumn("type", F.lit("abandoned"))
-    return ends.unionByName(stopped, allowMissingColumns=True)
-
-
 def _outcomes(chunks: DataFrame, include_abandoned: bool, shortened: Callable[[Column], Column]) -> DataFrame:
-    blocks = _blocks(chunks)
-    texts = blocks.groupBy(*CALL).agg(shortened(_whole_text()).alias("text"))
-    return _ends(blocks, include_abandoned).join(texts, "call_id").select(
+    """A call meets once, as its text and its ends; each end then takes its beginning of the text."""
+    calls = _blocks(chunks).groupBy(*CALL).agg(
+        _whole_text().alias("text"),
+        F.flatten(F.collect_list("_ends")).alias("ends"),
+        F.max("_seq").alias("_seq"),
+        F.max("_ts").alias("_ts"),
+    )
+    if include_abandoned:
+        kind = calls.schema["ends"].dataType.elementType
+        last = {"seq": F.col("_seq"), "type": F.lit("abandoned"), "ts": F.col("_ts"), "chars": F.length("text")}
+        only = F.struct(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+        calls = calls.withColumn("ends", F.when(F.size("ends") == 0, F.array(only)).otherwise(F.col("ends")))
+    taken = calls.filter(F.size("ends") > 0).select("call_id", shortened(F.col("text")).alias("text"), "ends")
+    return taken.select("call_id", "text", F.explode("ends").alias("e")).select(
         "call_id",
-        "seq",
-        "type",
-        "ts",
-        "input_tokens",
-        "output_tokens",
-        "error_msg",
-        F.substring("text", F.lit(1), F.least("chars", F.lit(2**31 - 1)).cast("int")).alias("text"),
+        "e.seq",
+        "e.type",
+        "e.ts",
+        "e.input_tokens",
+        "e.output_tokens",
+        "e.error_msg",
+        F.substring("text", F.lit(1), F.least("e.chars", F.lit(2**31 - 1)).cast("int")).alias("text"),
     )
 
 
