@@ -20,6 +20,8 @@ Calls = Callable[[SparkSession], DataFrame]
 
 #: Folders that given-out chunks are dealt to by call, so that a call's earlier ones are found.
 BUCKETS = 64
+#: In place of a batch: chunks that still waited when the table was last asked for drained calls.
+WAITING = -1
 
 
 @contextmanager
@@ -45,7 +47,7 @@ def _given_before(spark: SparkSession, path: str, calls: DataFrame, batch_id: in
     """Chunks of ``calls(call_id)`` given out in other batches; only their folders are read."""
     keyed = calls.withColumn("bucket", _bucket())
     buckets = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # BUCKETS rows at most
-    stored = spark.read.parquet(f"{path}/chunks").filter(F.col("bucket").isin(buckets))
+    stored = spark.read.parquet(f"{path}/chunks").filter(F.col("bucket").isin(buckets) & (F.col("batch_id") != WAITING))
     if batch_id is not None:
         stored = stored.filter(F.col("batch_id") != batch_id)
     return stored.join(calls, "call_id", "left_semi").select(*CHUNK_COLUMNS)
@@ -100,8 +102,9 @@ def open_chunks(spark: SparkSession, checkpoint: str, path: str) -> DataFrame:
     """Chunks that wait in the state of a stream that has stopped, written to ``path``."""
     with _state_in_rocksdb(spark):
         held = spark.read.format("statestore").option("stateVarName", "chunks").load(checkpoint)
-        unpacked(held.select("key.call_id", "list_element.*")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        rows = held.select("key.call_id", "key.block", "list_element.*", F.lit(False).alias("again"))
+        unpacked(rows, "block", "again").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).select(*CHUNK_COLUMNS)
 
 
 def folded(spark: SparkSession, calls: Calls, path: str, drained: bool = False, checkpoint: str | None = None) -> DataFrame:
@@ -116,6 +119,8 @@ def folded(spark: SparkSession, calls: Calls, path: str, drained: bool = False,
     if not drained:
         return done
     waiting = open_chunks(spark, checkpoint or f"{path}/checkpoint", f"{path}/open")
+    shown = spark.read.parquet(f"{path}/open").withColumn("bucket", _bucket())
+    write_batch(shown, f"{path}/chunks", WAITING, "bucket", order="call_id")  # so the table has every chunk once
     opened = waiting.select("call_id").distinct()
     folded_now = fold_calls(calls(spark), waiting.unionByName(_given_before(spark, path, opened)))
     return done.join(opened, "call_id", "left_anti").select(*folded_now.columns).unionByName(folded_now)
