@@ -6,85 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgauge.functions.redaction import PREVIEW_CHARS, preview
+from callgauge.operators import ranged
 from callgauge.operators.conversations import PROMPT_MESSAGES
 
-# A conversation with more messages than this is cut into time slices, so that no
-# task has to order it alone.
-HUGE_CONVERSATION = 200_000
-SLICES = 1024
-# A row finds its slice among every 32nd cut first, then among the 32 after it.
-STEP = 32
-# Up to this many huge conversations, their cut points (8 bytes each) are sent to
-# every task: at most 8 MB.
-BROADCAST_CONVERSATIONS = 1000
-
 
 def prompt_context(
-    messages: DataFrame, n: int = PROMPT_MESSAGES, huge: int = HUGE_CONVERSATION, slices: int = SLICES
+    messages: DataFrame, n: int = PROMPT_MESSAGES, ranges: int = ranged.RANGES, least_rows: int = ranged.LEAST_ROWS
 ) -> DataFrame:
     """For every user message the prompt of that turn: up to ``n`` messages, itself last.
 
     Empty placeholders of earlier turns are part of it, the one of this turn is
-    not (it is stored later).
+    not (it is stored later). Messages are shuffled by conversation and range of
+    (conversation, time, id), so no task has to order a huge conversation alone, at one
+    instant or not; a range is preceded by the last ``n - 1`` messages before it.
     """
-    message = F.struct("role", "content")
-    in_order = ["created_at", "id"]
-    sizes = messages.groupBy("conversation_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > huge)
-    found = sizes.count()
-    if found == 0:
-        turn = Window.partitionBy("conversation_id").orderBy(*in_order).rowsBetween(1 - n, 0)
-        framed = messages.withColumn("messages", F.collect_list(message).over(turn))
-        return _user_turns(framed)
-
-    # Cut points in time, from a map-side sketch of the huge conversations only.
-    # The slice of a row depends on its time alone, so it is the same on a rerun.
-    cuts = (
-        messages.select("conversation_id", "created_at")
-        .join(sizes.select("conversation_id"), "conversation_id", "left_semi")
-        .groupBy("conversation_id")
-        .agg(
-            F.percentile_approx("created_at", [i / slices for i in range(1, slices)], 20 * slices).alias("_cuts")
-        )
-        .withColumn("_steps", F.filter("_cuts", lambda _, i: (i + 1) % STEP == 0))
-    )
-    if found <= BROADCAST_CONVERSATIONS:
-        cuts = F.broadcast(cuts)
-    steps = F.size(F.filter("_steps", lambda cut: cut < F.col("created_at"))) * STEP
-    rest = F.filter(F.slice("_cuts", steps + 1, F.lit(STEP)), lambda cut: cut < F.col("created_at"))
-    sliced = (
-        messages.join(cuts, "conversation_id", "left")
-        .withColumn("_huge", F.col("_cuts").isNotNull())
-        .withColumn("_slice", F.when(F.col("_huge"), steps + F.size(rest)).otherwise(0))
-        .drop("_cuts", "_steps")
-        .repartition("conversation_id", "_slice")
-    )
-    group = Window.partitionBy("conversation_id", "_slice")
-    framed = sliced.withColumn(
-        "_own", F.collect_list(message).over(group.orderBy(*in_order).rowsBetween(1 - n, 0))
-    )
+    order, shown = ["conversation_id", "created_at", "id"], ["role", "content"]
+    found = ranged.cut_points(messages, order, ranges, least_rows)
+    cut = messages.select(*order, *shown, ranged.range_of(order, found).alias("_range"))
+    rows = cut.withColumn("_before", F.lit(False))
+    if n > 1:
+        rows = rows.unionByName(_before(cut, found, order, shown, n))
+    turn = Window.partitionBy("conversation_id", "_range").orderBy("created_at", "id").rowsBetween(1 - n, 0)
+    return _user_turns(rows.withColumn("messages", F.collect_list(F.struct(*shown)).over(turn)).filter(~F.col("_before")))
 
-    # The messages just before a slice: the last n-1 of each slice, ordered over
-    # the whole conversation (at most slices * (n-1) rows of it).
-    tails = (
-        sliced.filter("_huge")
-        .withColumn("_rank", F.row_number().over(group.orderBy(F.desc("created_at"), F.desc("id"))))
+
+def _before(cut: DataFrame, found: Column, order: list[str], shown: list[str], n: int) -> DataFrame:
+    """The last ``n - 1`` messages before each range that begins inside a conversation.
+
+    One range may have fewer than that, so the ends of a conversation's ranges are ordered
+    together: ``n - 1`` rows of each range at most.
+    """
+    newest = Window.partitionBy("conversation_id", "_range").orderBy(F.desc("created_at"), F.desc("id"))
+    ends = (
+        cut.filter(ranged.goes_on("conversation_id", "_range", found))
+        .withColumn("_rank", F.row_number().over(newest))
         .filter(F.col("_rank") < n)
     )
-    along = Window.partitionBy("conversation_id").orderBy(*in_order)
-    carried = (
-        tails.withColumn("_carried", F.collect_list(message).over(along.rowsBetween(2 - n, 0)))
-        .withColumn("_next", F.lead("_slice").over(along))
-        .filter(F.col("_next") != F.col("_slice"))
-        .select("conversation_id", F.col("_next").alias("_slice"), "_carried")
-    )
-    whole = F.concat(F.coalesce("_carried", F.array().cast(framed.schema["_own"].dataType)), F.col("_own"))
-    spare = F.greatest(F.size("_whole") - n, F.lit(0))
-    joined = (
-        framed.join(carried, ["conversation_id", "_slice"], "left")
-        .withColumn("_whole", whole)
-        .withColumn("messages", F.slice("_whole", spare + 1, F.lit(n)))
-    )
-    return _user_turns(joined)
+    along = Window.partitionBy("conversation_id").orderBy("created_at", "id").rowsBetween(2 - n, 0)
+    last = ends.withColumn("_last", F.collect_list(F.struct(*order, *shown)).over(along)).filter(F.col("_rank") == 1)
+    copied = last.select(F.explode("_last").alias("_row"), (F.col("_range") + 1).alias("_range"))
+    return copied.select("_row.*", "_range", F.lit(True).alias("_before"))
 
 
 def _user_turns(framed: DataFrame) -> DataFrame:

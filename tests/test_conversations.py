@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callgauge.functions.text import WHITE_SPACE, error_text, trimmed
 from callgauge.operators import conversations as conv
-from callgauge.operators import prompts
+from callgauge.operators import prompts, ranged
 from callgauge.sources import sinks
 
 BASE = datetime(2024, 3, 1)
@@ -109,18 +109,40 @@ def prompt_loop(rows, n):
     return out
 
 
-@pytest.mark.parametrize("huge,slices", [(200_000, 1024), (50, 8), (5, 64), (0, 3)])
-@pytest.mark.parametrize("broadcast", [1000, 0])
-def test_prompts_equal_the_loop(spark, monkeypatch, huge, slices, broadcast):
-    """One conversation holds a third of all messages; many share their time."""
-    monkeypatch.setattr(prompts, "BROADCAST_CONVERSATIONS", broadcast)
-    rng = random.Random(huge)
+@pytest.mark.parametrize("ranges,least_rows", [(4096, 1000), (8, 1), (64, 5), (4096, 1)])
+@pytest.mark.parametrize("n", [6, 1])
+def test_prompts_equal_the_loop(spark, ranges, least_rows, n):
+    """One conversation holds a third of all messages; many share their time. Ranges go down to single rows."""
+    rng = random.Random(ranges)
     rows = [
         (i, rng.choice([1, rng.randint(2, 40), rng.randint(2, 40)]), rng.choice(["user", "assistant", "system"]), f"m{i}", rng.randint(0, 300))
         for i in range(900)
     ]
-    got = prompts.prompt_context(messages(spark, rows), 6, huge=huge, slices=slices)
-    assert {r.message_id: [(m.role, m.content) for m in r.messages] for r in got.collect()} == prompt_loop(rows, 6)
+    got = prompts.prompt_context(messages(spark, rows), n, ranges=ranges, least_rows=least_rows)
+    assert {r.message_id: [(m.role, m.content) for m in r.messages] for r in got.collect()} == prompt_loop(rows, n)
+
+
+def test_messages_of_one_instant_are_spread(spark):
+    """No job runs while the query is built, and one conversation at one time falls into several ranges."""
+    rows = messages(spark, [(i, 1, "user", f"m{i}", 0) for i in range(3000)]).withColumn("id", F.format_string("%05d", F.col("id").cast("int")))
+    order = ["conversation_id", "created_at", "id"]
+    spark.sparkContext.setJobGroup("built", "built")
+    turns = prompts.prompt_context(rows, 4, least_rows=100)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("built")
+    spark.sparkContext.setJobGroup("run", "run")
+    found = ranged.cut_points(rows, order, least_rows=100)
+    sizes = [r["count"] for r in rows.groupBy(ranged.range_of(order, found).alias("r")).count().collect()]
+    assert 20 <= len(sizes) <= 32 and max(sizes) < 300
+    got = {r.message_id: [m.content for m in r.messages] for r in turns.collect()}
+    assert got == {f"{i:05d}": [f"m{k}" for k in range(max(0, i - 3), i + 1)] for i in range(3000)}
+
+
+def test_prompts_of_nothing_and_of_missing_keys(spark):
+    rows = messages(spark, [(i, None if i % 2 else 1, "user", f"m{i}", i) for i in range(12)])
+    rows = rows.withColumn("created_at", F.when(F.col("id") >= 4, F.col("created_at")))
+    got = {r.message_id: [m.content for m in r.messages] for r in prompts.prompt_context(rows, 3, least_rows=2).collect()}
+    assert got == {r.message_id: [m.content for m in r.messages] for r in prompts.prompt_context(rows, 3).collect()} and len(got) == 12
+    assert prompts.prompt_context(rows.limit(0)).count() == 0
 
 
 def test_prompt_bodies(spark):
