@@ -50,21 +50,20 @@ END_ID = 0
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs; exact, as float64 holds all 32-bit integers."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values to rows of bytes, lowest bit first; higher bits are cut off."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(*values.shape, 4), axis=2, count=width, bitorder="little")
+    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def _unpack(packed: np.ndarray, count: int, width: int) -> np.ndarray:
     bits = np.unpackbits(packed, axis=1, count=count * width, bitorder="little").reshape(len(packed), count, width)
-    values = np.zeros((len(packed), count), dtype=np.uint32)
-    for k in range(width):
-        values |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-    return values
+    whole = np.zeros((len(packed), count, 4), dtype=np.uint8)
+    whole[:, :, : (width + 7) // 8] = np.packbits(bits, axis=2, bitorder="little")
+    return whole.view("<u4")[:, :, 0]
 
 
 def _body(ids: np.ndarray, length: int, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +72,8 @@ def _body(ids: np.ndarray, length: int, share: float) -> tuple[np.ndarray, np.nd
     low = blocks.min(axis=1)
     above = blocks - low[:, None]
     needed = _bits(above)
-    width = np.sort(needed, axis=1)[:, min(length - 1, int(np.ceil(share * length)) - 1)]
+    place = min(length - 1, int(np.ceil(share * length)) - 1)
+    width = np.partition(needed, place, axis=1)[:, place].astype(np.int64)
     over = needed > width[:, None]
     exceptions = over.sum(axis=1)
     packed_size = (width * length + 7) // 8
@@ -179,9 +179,26 @@ def library(path: str) -> units.UnitEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
     tokenizer = Tokenizer.from_file(path)
 
-    def encode_many(texts: list[str]) -> Iterator[bytes]:
-        for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u4").tobytes()
+    spaced = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True  # how byte-level files write a space
+
+    def encode_one_by_one(texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, dtype="<u4").tobytes() for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_many(texts: list[str]) -> list[bytes]:
+        """Units that have no space but the one they begin with are encoded as one text: an id that begins with a space begins a unit."""
+        joined = "".join(texts)
+        if joined.count(" ") > len(texts) or any(text[0] != " " for text in texts):
+            plain = [text for text in texts if text[0] == " " and " " not in text[1:]]
+            others = [text for text in texts if text[0] != " " or " " in text[1:]]
+            found = dict(zip(others, encode_one_by_one(others))) | dict(zip(plain, encode_many(plain)))
+            return [found[text] for text in texts]
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        starts = (4 * np.flatnonzero(spaced[ids])).tolist()
+        if len(starts) != len(texts):
+            return encode_one_by_one(texts)
+        packed = ids.tobytes()
+        return [packed[start:stop] for start, stop in zip(starts, [*starts[1:], len(packed)])]
 
     return units.UnitEncoder(encode_many)
 
@@ -197,7 +214,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = library(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype="<u4").tobytes()
         first, doc_ids, parts, held = 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -210,12 +227,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
                 }
             )
 
-        for batch in rows.slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.frombuffer(encoder.encode(text or ""), dtype="<u4")
+        for batch in rows.slices(batches, size=units.GROUP_BYTES):
+            found = encoder.encode_all([text or "" for text in batch.column("text").to_pylist()])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found):
                 doc_ids.append(doc_id)
-                parts.append(np.concatenate([ids, end]))
-                held += len(ids) + 1
+                parts.append(np.frombuffer(ids + end, dtype="<u4"))
+                held += len(parts[-1])
                 if held >= SHARD_IDS:
                     yield shard()
                     first, doc_ids, parts, held = first + held, [], [], 0
