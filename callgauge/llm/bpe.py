@@ -27,7 +27,7 @@ from callgauge.llm import rows, units
 
 NEVER = 1 << 62
 #: Verdicts on neighbours that are kept before they are forgotten.
-PAIRS = 250_000
+PAIRS = 1_000_000
 
 
 class Bpe:
@@ -154,14 +154,6 @@ class Bpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.cached.encode(text), dtype="<u4")
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, dtype="<u4") for ids in self.cached.encode_all(texts)]
-
-    def forget(self) -> None:
-        """Give back what grew with the texts, so that a Python worker takes none of it into its next task."""
-        self.cached.forget()
-        self.fitting.clear()
-
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
@@ -191,8 +183,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        for batch in rows.slices(batches, size=units.GROUP_BYTES):
-            all_ids = bpe.encode_all([text or "" for text in batch.column("text").to_pylist()])
+        for batch in rows.slices(batches):
+            all_ids = [bpe.encode(text or "") for text in batch.column("text").to_pylist()]
             columns = {
                 "doc_id": batch.column("doc_id"),
                 "n_tokens": pa.array([len(ids) for ids in all_ids], pa.int64()),
@@ -204,7 +196,6 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
                 values = np.concatenate([*all_ids, np.zeros(0, "<u4")]).astype(np.int32)
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.RecordBatch.from_pydict(columns)
-        bpe.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return rows.texts(docs).mapInArrow(work, schema + ", ids array<int>" * keep_ids)

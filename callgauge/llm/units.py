@@ -13,11 +13,9 @@ from collections.abc import Callable, Iterable
 #: A space that white space or the end of the text follows.
 UNSAFE = re.compile(r" (?=\s|\Z)")
 SAFE_SPACE = re.compile(r" (?!\s|\Z)")
+#: Units that one generation of a cache holds, and the longest unit that is kept.
+CACHE_UNITS, CACHE_CHARS = 500_000, 64
 MARKS = ".,;:!?"
-#: Bytes that one generation of a cache may take, about, and what an entry takes besides its characters.
-CACHE_BYTES, ENTRY_BYTES = 96 << 20, 200
-#: Bytes of text whose units are looked up together.
-GROUP_BYTES = 8 << 20
 
 
 def cut(text: str) -> list[str]:
@@ -29,50 +27,52 @@ class UnitEncoder:
     """encode_many: texts to ids, each as little-endian unsigned 32-bit integers.
 
     Units are kept in two generations: once the young one is full it becomes the old one,
-    and what is used again moves over. What is kept is bounded whatever the corpus holds;
-    forget() gives it back.
+    and what is used again moves over. Memory is bounded whatever the corpus holds.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_BYTES):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_UNITS):
         self.encode_many, self.limit = encode_many, limit
-        self.marks = dict(zip(MARKS, encode_many(list(MARKS))))
-        self.forget()
-
-    def forget(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.held = 0
+        self.marks = dict(zip(MARKS, encode_many(list(MARKS))))
 
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+    def get(self, unit: str) -> bytes | None:
+        """Ids of a unit (without the space before it) if they are kept."""
+        return self.young.get(unit) or self.old.get(unit)
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of some texts, whose distinct units are looked up once."""
-        units = [cut(text) for text in texts]
-        heads = [own.pop(0) for own in units]
-        if self.held > self.limit:
-            # More than one generation's worth comes from one huge text; it isn't kept.
-            self.old, self.young, self.held = self.young if self.held < 2 * self.limit else {}, {}, 0
-        self._learn(set().union(*units))
-        ids = self.young.__getitem__
-        first = iter(self.encode_many([head for head in heads if head]))
-        return [b"".join([next(first) if head else b"", *map(ids, own)]) for head, own in zip(heads, units)]
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        head, *units = cut(text)
+        found = list(map(self.young.get, units))
+        if None in found:
+            fresh = self._fresh({unit for unit, ids in zip(units, found) if ids is None})
+            found = [fresh[unit] if ids is None else ids for unit, ids in zip(units, found)]
+        first = b"".join(self.encode_many([head])) if head else b""
+        return first + b"".join(found)
 
-    def _learn(self, wanted: set[str]) -> None:
-        """Keep the ids of all these units, each with a space before it.
+    def _fresh(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of units that the young generation lacks.
 
         A letter and a mark are never in one piece, so a mark at the end stands for itself.
         """
-        young, marks = self.young, self.marks
-        missing = wanted.difference(young)
-        again = missing & self.old.keys()
-        young.update((unit, self.old[unit]) for unit in again)
-        unseen = missing - again
-        marked = [unit for unit in unseen if unit[-1:] in marks and unit[:-1].isalpha()]
-        if marked:
-            self._learn({unit[:-1] for unit in marked})
-            young.update((unit, young[unit[:-1]] + marks[unit[-1]]) for unit in marked)
-            unseen = unseen.difference(young)
-        fresh = list(unseen)
-        young.update(zip(fresh, self.encode_many([" " + unit for unit in fresh])))
-        self.held += ENTRY_BYTES * len(missing) + sum(map(len, missing))
+        fresh, marked, unseen = {}, [], {}
+        for unit in missing:
+            if (ids := self.old.get(unit)) is not None:
+                fresh[unit] = ids
+            elif unit[-1:] in self.marks and unit[:-1].isalpha():
+                if (ids := self.get(unit[:-1])) is not None:
+                    fresh[unit] = ids + self.marks[unit[-1]]
+                else:
+                    marked.append(unit)
+                    unseen[unit[:-1]] = None
+            else:
+                unseen[unit] = None
+        order = list(unseen)
+        fresh.update(zip(order, self.encode_many([" " + unit for unit in order])))
+        if len(self.young) + len(fresh) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update((unit, ids) for unit, ids in fresh.items() if len(unit) <= CACHE_CHARS)
+        for unit in marked:
+            fresh[unit] = fresh[unit[:-1]] + self.marks[unit[-1]]
+        return fresh
