@@ -47,7 +47,7 @@ STAGES = [
     ("byte-level BPE", tokenize),
 ]
 
-#: Language ID and BPE can't be told in SQL; tests hold run() against a brute-force version.
+#: Language ID and BPE can't be told in SQL; tests hold the operators of the stages, not yet the whole chain.
 ORACLE_SQL = None
 
 
