@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.functions.redaction import PREVIEW_CHARS, redact, truncate
 from callgauge.functions.text import error_text
@@ -15,7 +16,7 @@ from callgauge.operators import conversations as conv
 from callgauge.operators import events, fold, frames, integrity, metrics, prompts
 from callgauge.plans import inputs
 from callgauge.plans.inputs import AS_OF, table
-from callgauge.sources import keyed, rewritten, sinks
+from callgauge.sources import dated, keyed, rewritten, sinks
 from callgauge.sources.workspace import run_folder
 from callgauge.streaming import calls as call_stream
 from callgauge.streaming import ingest, live
@@ -400,43 +401,57 @@ def chat_events_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams: each run takes in the whole table and then stops.
 
 
+def _texts_left_out(events: DataFrame) -> DataFrame:
+    no_text = F.lit(None).cast("string")
+    return inputs.logs_of(events).withColumns({"input_preview": no_text, "output_preview": no_text})
+
+
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.logs_of(inputs.stream_of(spark, sf_dir, "events"))
-    no_text = F.lit(None).cast("string")
-    rows = rows.withColumn("input_preview", no_text).withColumn("output_preview", no_text)
     path = run_folder(spark, "ingest")
 
     def owners(session: SparkSession) -> tuple[DataFrame, DataFrame]:
         return inputs.conversations(session, sf_dir), inputs.messages(session, sf_dir)
 
-    ingest.start_ingest(rows, owners, f"{path}/logs", f"{path}/checkpoint", AS_OF).awaitTermination()
+    def start(events: DataFrame) -> StreamingQuery:
+        return ingest.start_ingest(_texts_left_out(events), owners, f"{path}/logs", f"{path}/checkpoint", AS_OF)
+
+    inputs.replayed(spark, sf_dir, "events", f"{path}/events", start)
+    # Three of the four batches are read from their pack, the last one from its own folder.
+    dated.compact(spark, f"{path}/logs", least=2)
     return ingest.ingested(spark, f"{path}/logs").drop("id", "batch_id", "input_preview", "output_preview")
 
 
 @query
 def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.logs_of(inputs.stream_of(spark, sf_dir, "events"))
     path = run_folder(spark, "latency")
-    live.start_latency(rows, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+
+    def start(events: DataFrame) -> StreamingQuery:
+        return live.start_latency(inputs.logs_of(events), f"{path}/table", f"{path}/checkpoint")
+
+    inputs.replayed(spark, sf_dir, "events", f"{path}/events", start)
     return live.live_latency(spark, f"{path}/table", inputs.logs(spark, sf_dir), AS_OF)
 
 
 @query
 def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.logs_of(inputs.stream_of(spark, sf_dir, "events"))
     path = run_folder(spark, "summary")
-    live.start_summary(rows, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+
+    def start(events: DataFrame) -> StreamingQuery:
+        return live.start_summary(inputs.logs_of(events), f"{path}/table", f"{path}/checkpoint")
+
+    inputs.replayed(spark, sf_dir, "events", f"{path}/events", start)
     return live.live_summary(spark, f"{path}/table", inputs.logs(spark, sf_dir), AS_OF)
 
 
 @query
 def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.logs_of(inputs.stream_of(spark, sf_dir, "events"))
-    no_text = F.lit(None).cast("string")
-    rows = rows.withColumn("input_preview", no_text).withColumn("output_preview", no_text)
     path = run_folder(spark, "recent")
-    live.start_recent(rows, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+
+    def start(events: DataFrame) -> StreamingQuery:
+        return live.start_recent(_texts_left_out(events), f"{path}/table", f"{path}/checkpoint")
+
+    inputs.replayed(spark, sf_dir, "events", f"{path}/events", start)
     return live.live_recent(spark, f"{path}/table")
 
 

@@ -36,7 +36,7 @@ class State(NamedTuple):
         return F.pmod(F.xxhash64(self.dealt_by), F.lit(self.folders)).cast("int")
 
 
-def _commits(spark: SparkSession, path: str) -> list[int]:
+def finished_commits(spark: SparkSession, path: str) -> list[int]:
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath() for s in files.listStatus(folder)] if files.exists(folder) else []
@@ -46,7 +46,7 @@ def _commits(spark: SparkSession, path: str) -> list[int]:
 
 def state(spark: SparkSession, path: str) -> State:
     """The last finished commit; as many rows as the table has folders."""
-    last = _commits(spark, path)[-1]
+    last = finished_commits(spark, path)[-1]
     rows = spark.read.schema("folder INT, version BIGINT, about STRING").parquet(f"{path}/commits/commit={last}").collect()
     about = next(json.loads(r["about"]) for r in rows if r["folder"] == ABOUT)
     return State(last, {r["folder"]: r["version"] for r in rows if r["folder"] != ABOUT}, **about)
@@ -70,7 +70,7 @@ def _write(rows: DataFrame, path: str, version: int, layout: State) -> dict[int,
 
 def create(rows: DataFrame, path: str, dealt_by: str, folders: int = FOLDERS) -> None:
     """Store a table; what was stored there before is no longer part of it."""
-    commits = _commits(rows.sparkSession, path)
+    commits = finished_commits(rows.sparkSession, path)
     number = commits[-1] + 1 if commits else 0
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     layout = State(number, {}, columns, dealt_by, folders)

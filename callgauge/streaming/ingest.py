@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.functions.times import as_of_column
 from callgauge.operators.integrity import check_logs
-from callgauge.sources.sinks import EVENT_COLUMNS, write_batch
+from callgauge.sources import dated
+from callgauge.sources.sinks import EVENT_COLUMNS
 from callgauge.streaming.lookup import referenced
 
 Trigger = dict[str, object]
@@ -31,10 +32,17 @@ def start_ingest(
 
     A bad row never stops the stream: it lands next to the good ones, under
     outcome=refused. ``owners`` reads conversations and messages anew for each batch.
-    A batch is written in one pass, and a repeated batch replaces its own folder.
+    A batch is written in one pass. Only the first batch of a run can be a repeated one:
+    it replaces what was written of it, be it on another day. `dated.compact` puts the
+    batches of a day together.
     """
+    first = True
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        nonlocal first
+        if first:
+            dated.forget(batch.sparkSession, path, batch_id)
+            first = False
         batch = batch.select(*EVENT_COLUMNS).persist()
         conversations, messages = owners(batch.sparkSession)
         conversations = referenced(conversations.select("id"), "id", batch, "conversation_id")
@@ -48,7 +56,7 @@ def start_ingest(
             F.when(F.col("reason").isNull(), "stored").otherwise("refused").alias("outcome"),
             at.cast("date").alias("log_date"),
         )
-        write_batch(rows, path, batch_id, "outcome", "log_date")
+        dated.write(rows, path, batch_id)
         batch.unpersist()
 
     writer = events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
@@ -56,10 +64,10 @@ def start_ingest(
 
 
 def ingested(spark: SparkSession, path: str) -> DataFrame:
-    """Everything the stream wrote, with ``reason`` and ``outcome``."""
-    return spark.read.parquet(path)
+    """Everything the stream wrote, with ``reason``, ``outcome`` and ``batch_id``."""
+    return dated.read(spark, path)
 
 
-def stored_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The log table; filters on log_date skip folders."""
-    return ingested(spark, path).filter(F.col("outcome") == "stored").drop("reason", "outcome", "batch_id")
+def stored_logs(spark: SparkSession, path: str, since: date | None = None, until: date | None = None) -> DataFrame:
+    """The log table; given days (both included) are the only ones listed."""
+    return dated.read(spark, path, "stored", since, until).drop("reason", "outcome", "batch_id")
