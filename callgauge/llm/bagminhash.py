@@ -135,7 +135,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the same for equal words; null without words) and band keys of every row.
+    """doc_id, node (the same for equal words; null without words), a mark of the text as it
+    stands and band keys of every row.
 
     node is a 64-bit hash: among n texts about n * n / 2**65 pairs share one by accident.
     """
@@ -147,25 +148,31 @@ def sign(docs: DataFrame) -> DataFrame:
                 found = describe(raw)
                 nodes.append(found and found[0])
                 keys.append(found and band_keys(found[2]).tolist())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "node": pa.array(nodes, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "node": pa.array(nodes, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
-    return rows.texts(docs).mapInArrow(work, "doc_id long, node long, bands array<long>")
+    return _marked(docs).mapInArrow(work, "doc_id long, mark long, node long, bands array<long>")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return rows.texts(docs).withColumn("mark", F.xxhash64("text"))
 
 
 def _vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, its multiset and signature for the wanted nodes; wanted has a doc_id for each."""
+    """node, its multiset and signature for the wanted nodes; wanted has doc_id and mark of a
+    text for each. So a row meets one node at most, whatever ids and copies there are."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.slices(batches):
             out = []
             for node, raw in zip(batch.column("node").to_pylist(), pc.cast(batch.column("text"), pa.binary()).to_pylist()):
                 found = describe(raw)
-                if found and found[0] == node:  # a doc_id may have several texts
+                if found and found[0] == node:  # another text may have the mark
                     out.append((node, found[1].tobytes(), found[2].tobytes()))
             columns = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["node", "multiset", "signature"])
 
-    there = rows.texts(docs).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "d.text")
+    same = (F.col("d.mark") == F.col("w.mark")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+    there = _marked(docs).alias("d").join(wanted.alias("w"), same).select("w.node", "d.text")
     return there.mapInArrow(work, "node long, multiset binary, signature binary").dropDuplicates(["node"])
 
 
@@ -219,14 +226,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): doc_id and node of every row of docs; node and root of every node that
     has a link and is not the smallest of its class."""
     signed = stored(sign(docs), "signed")
-    texts = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    keyed = texts.select("node", "doc_id", F.explode("bands").alias("key"))
+    texts = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("bands").alias("bands"))
+    keyed = texts.select("node", "at", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(keyed.join(full, "key"), "members")
-    central = members.groupBy("node").agg(F.sum("n").alias("central"), F.min("doc_id").alias("doc_id"))
+    central = members.groupBy("node").agg(F.sum("n").alias("central"), F.first("at").alias("at"))
     ranked = members.join(central.select("node", "central"), "node")
     centres = ranked.groupBy("key").agg(F.max(F.struct("central", "node")).getField("node").alias("centre"))
-    vectors = stored(_vectors(docs, central.select("node", "doc_id")), "vectors")
+    vectors = stored(_vectors(docs, central.select("node", "at.doc_id", "at.mark")), "vectors")
     pairs = members.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     first = vectors.select(F.col("node").alias("a"), F.col("multiset").alias("x"))
     second = vectors.select(F.col("node").alias("b"), F.col("multiset").alias("y"))

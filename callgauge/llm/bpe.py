@@ -154,6 +154,11 @@ class Bpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.cached.encode(text), dtype="<u4")
 
+    def forget(self) -> None:
+        """Give back what grew with the texts."""
+        self.cached = units.UnitEncoder(self._encode_units)
+        self.fitting = {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
@@ -196,6 +201,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
                 values = np.concatenate([*all_ids, np.zeros(0, "<u4")]).astype(np.int32)
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.RecordBatch.from_pydict(columns)
+        bpe.forget()  # the worker may serve other stages
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return rows.texts(docs).mapInArrow(work, schema + ", ids array<int>" * keep_ids)

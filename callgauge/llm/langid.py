@@ -21,8 +21,6 @@ from callgauge.llm import rows
 WINDOW, HIDDEN = 64, 8
 #: Bound of the training sample: documents of a language, and characters taken of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 320
-#: Languages that the network can tell apart, at most; the most frequent ones are taken.
-MOST_LANGUAGES = 256
 STEPS, BATCH, RATE, SEED = 300, 128, 0.02, 11
 #: Windows that a task reads side by side.
 SIDE_BY_SIDE = 4096
@@ -157,10 +155,12 @@ def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE_DOCS, char
     each language among the rows to learn from.
 
     Documents are drawn by a hash of id and text, at a rate set by the language's row count,
-    so no language's rows meet in one task. Of twice per_language rows by chance, the rest goes.
+    so no language's rows meet in one task; a repeated row counts once. Of more than twice
+    per_language by chance those with the smallest hashes are taken. Every language with a
+    text has its part, so the sample grows with the number of languages.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return []
     every = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(max(1, r["count"] // per_language)).cast("long"))])
@@ -169,7 +169,7 @@ def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE_DOCS, char
     drawn = known.where(F.pmod(hashed, every[F.col("lang")]) == 0)
     picked = drawn.select("lang", F.substring("text", at.cast("int"), F.lit(chars)).alias("text"), hashed.alias("h"))
     by: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.limit(2 * per_language * len(counts)).toLocalIterator():
+    for r in picked.groupBy("lang", "h").agg(F.min("text").alias("text")).toLocalIterator():
         by.setdefault(r["lang"], []).append((r["h"], r["text"]))
     return [(lang, text) for lang in sorted(by) for _, text in sorted(by[lang])[: 2 * per_language]]
 
@@ -200,7 +200,9 @@ def _predict(network: Network | None, texts: list[str | None]) -> tuple[list[str
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, lang_pred and score of every whole text. Null texts and texts without a letter
-    are `und` with score 0; without a network so is every text."""
+    are `und` with score 0; without a network so is every text. Of languages with equal
+    probability the first by name is told. Repeated rows give a row each, an empty table none;
+    other columns are left out. Narrow: no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +213,29 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     return rows.texts(docs).mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, network: Network | None, wanted: list[str] | None = None, least: float = 0.4) -> DataFrame:
+def bar(languages: int) -> float:
+    """The score at which the odds of a language are twice those of chance; 1 for a single one."""
+    return 2 / (languages + 1)
+
+
+def keep(docs: DataFrame, network: Network | None, wanted: list[str] | None = None, least: float | None = None) -> DataFrame:
     """The rows of docs, with all their columns, in a wanted language (by default any that the
-    network knows) with a score of `least` or more. `und` goes."""
+    network knows) with a score of `least` or more (by default the `bar` of its languages).
+
+    `und` goes: null texts and texts without a letter. Without a network no language can be
+    told, so every text with a letter stays. Repeated rows are judged alike, each by itself.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(network)
+    least = least if least is not None else bar(len(network.languages)) if network else 0.0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.slices(batches):
-            langs, scores = _predict(sent.value, batch.column("text").to_pylist())
-            good = [lang != UNKNOWN and score >= least and (wanted is None or lang in wanted) for lang, score in zip(langs, scores)]
+            texts = batch.column("text").to_pylist()
+            if sent.value is None:
+                good = [bool(text) and any(map(str.isalpha, text)) for text in texts]
+            else:
+                langs, scores = _predict(sent.value, texts)
+                good = [lang != UNKNOWN and score >= least and (wanted is None or lang in wanted) for lang, score in zip(langs, scores)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

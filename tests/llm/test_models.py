@@ -300,3 +300,34 @@ def test_one_row_of_a_drawn_document(spark):
     got = cases.rows_of(found, "doc_id", "y", "weight")
     assert got == [(1, 1, 1.0), (2, 0, 1.0), (3, 0, 1.0)]
     assert found.where("doc_id = 1 and text like 'text _' or doc_id = 2 and text = 'other' or doc_id = 3 and text is null").count() == 3
+
+
+def test_any_number_of_languages(spark):
+    """300 languages are all learned from; a row on very many rows is drawn once."""
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 12, f"l{k:03}") for k in range(300)] + [(1000, "same text", "l000")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = langid.sample(docs, F.lit(True))
+    assert {lang for lang, _ in drawn} == {f"l{k:03}" for k in range(300)}
+    assert sum(text == "same text" for _, text in drawn) == 1
+    assert [round(langid.bar(n), 3) for n in (1, 2, 4, 300)] == [1.0, 0.667, 0.4, 0.007]
+
+
+def test_without_a_network_texts_with_a_letter_stay(spark):
+    docs = cases.clashing(spark)
+    kept = langid.keep(docs, None)
+    assert kept.columns == docs.columns
+    assert cases.rows_of(kept, "doc_id", "text") == sorted((r for r in cases.ROWS if r[1] and any(map(str.isalpha, r[1]))), key=str)
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_very_many_texts_of_one_id(spark, doc_id):
+    """A row meets the node of its own text alone, so the join keeps the size of the table."""
+    texts = [cases.prose(30, seed=k) for k in range(150)]
+    docs = spark.createDataFrame([(doc_id, t) for t in texts for _ in range(2)] + [(doc_id, t + " more") for t in texts], cases.SCHEMA)
+    signed = bagminhash.sign(docs)
+    wanted = signed.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at")).select("node", "at.doc_id", "at.mark")
+    same = (F.col("d.mark") == F.col("w.mark")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+    assert bagminhash._marked(docs).alias("d").join(wanted.alias("w"), same).count() == 450
+    assert bagminhash._vectors(docs, wanted).count() == 300
+    assert bagminhash.duplicates(docs).where("class_size = 3").count() == 450
+    assert bagminhash.keep_one(docs).count() == 150
