@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the docs of the next one. All but the last return the columns of docs.
+
+Documents without a word, or with fewer than ten, go in the first stage, and with them null
+and empty texts; without known languages the second keeps every text with a letter. A null
+id is an id like others, the last of a class to be kept. Equal rows are one class, of which
+one stays. Empty tables give an empty result, further columns of documents are carried on.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ STAGES = [
     ("byte-level BPE", tokenize),
 ]
 
-#: Language ID and BPE can't be told in SQL; tests hold the operators of the stages, not yet the whole chain.
+#: Language ID and BPE can't be told in SQL; tests/llm/test_pipeline.py holds each stage and run() against brute force.
 ORACLE_SQL = None
 
 
