@@ -30,6 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,17 +47,25 @@ SHARE = 0.98
 #: A shard is closed at so many ids; a document stays in one shard.
 SHARD_IDS = 262_144
 END_ID = 0
+#: Units unseen so far that are encoded as one text.
+TOGETHER = 2000
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs; exact, as float64 holds all 32-bit integers."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
+def _item(width: int) -> int:
+    """Bytes of the least integer that holds so many bits."""
+    return 1 if width <= 8 else 2 if width <= 16 else 4
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values to rows of bytes, lowest bit first; higher bits are cut off."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    size = _item(width)
+    bits = np.unpackbits(values.astype(f"<u{size}").view(np.uint8).reshape(*values.shape, size), axis=2, bitorder="little")
+    return np.packbits(bits[:, :, :width].reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def _unpack(packed: np.ndarray, count: int, width: int) -> np.ndarray:
@@ -73,7 +82,7 @@ def _body(ids: np.ndarray, length: int, share: float) -> tuple[np.ndarray, np.nd
     low = blocks.min(axis=1)
     above = blocks - low[:, None]
     needed = _bits(above)
-    width = np.sort(needed, axis=1)[:, min(length - 1, int(np.ceil(share * length)) - 1)]
+    width = np.sort(needed, axis=1)[:, min(length - 1, int(np.ceil(share * length)) - 1)].astype(np.int64)
     over = needed > width[:, None]
     exceptions = over.sum(axis=1)
     packed_size = (width * length + 7) // 8
@@ -179,9 +188,34 @@ def library(path: str) -> units.UnitEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
     tokenizer = Tokenizer.from_file(path)
 
-    def encode_many(texts: list[str]) -> Iterator[bytes]:
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    added = {token.content for token in tokenizer.get_added_tokens_decoder().values()}
+    widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    for token, number in vocabulary.items():  # a byte is a character of a token, but for added ones
+        widths[number] = len(token.encode()) if token in added else len(token)
+
+    def ids_of(texts: list[str]) -> Iterator[np.ndarray]:
         for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u4").tobytes()
+            yield np.array(found.ids, dtype="<u4")
+
+    def encode_many(texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
+            yield from together(some) or map(np.ndarray.tobytes, ids_of(some))
+
+    def together(texts: list[str]) -> list[bytes] | None:
+        """Units, each with the space before it, encoded as one text and cut by the bytes of the
+        tokens; None if they are no such units."""
+        text = "".join(texts)
+        if len(texts) < 2 or not all(x.startswith(" ") for x in texts) or units.UNSAFE.search(text):
+            return None
+        (ids,) = ids_of([text])
+        ends, wanted = np.cumsum(widths[ids]), np.cumsum([len(x.encode()) for x in texts])
+        stops = np.searchsorted(ends, wanted) + 1
+        if not len(ends) or ends[-1] != wanted[-1] or not np.array_equal(ends[stops - 1], wanted):
+            return None
+        data = ids.tobytes()
+        return [data[4 * x : 4 * y] for x, y in zip([0, *stops.tolist()], stops.tolist())]
 
     return units.UnitEncoder(encode_many)
 
@@ -197,7 +231,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = library(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4")
         first, doc_ids, parts, held = 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -211,11 +244,16 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
             )
 
         for batch in rows.slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.frombuffer(encoder.encode(text or ""), dtype="<u4")
+            ids, sizes = encoder.encode_all(pc.fill_null(batch.column("text"), ""))
+            ends = np.cumsum(sizes + 1)
+            ended = np.full(len(ids) + len(sizes), end_id, dtype="<u4")
+            own = np.ones(len(ended), bool)
+            own[ends - 1] = False
+            ended[own] = ids
+            for doc_id, stop, size in zip(batch.column("doc_id").to_pylist(), ends.tolist(), sizes.tolist()):
                 doc_ids.append(doc_id)
-                parts.append(np.concatenate([ids, end]))
-                held += len(ids) + 1
+                parts.append(ended[stop - size - 1 : stop])
+                held += size + 1
                 if held >= SHARD_IDS:
                     yield shard()
                     first, doc_ids, parts, held = first + held, [], [], 0

@@ -10,12 +10,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: A space that white space or the end of the text follows.
 UNSAFE = re.compile(r" (?=\s|\Z)")
 SAFE_SPACE = re.compile(r" (?!\s|\Z)")
+#: UNSAFE for Arrow, whose \s knows ASCII alone.
+UNSAFE_ARROW = r" ([\s\v\x1c-\x1f\x{85}\p{Z}]|\z)"
 #: Units that one generation of a cache holds, and the longest unit that is kept.
 CACHE_UNITS, CACHE_CHARS = 500_000, 64
-MARKS = ".,;:!?"
+#: Marks that may end a unit, and how many runs of them are kept.
+MARKS, RUNS = ".,;:!?*#$%&|<>", 20_000
 
 
 def cut(text: str) -> list[str]:
@@ -44,28 +51,56 @@ class UnitEncoder:
         if not text:
             return b""
         head, *units = cut(text)
+        first = b"".join(self.encode_many([head])) if head else b""
+        return first + b"".join(self._found(units))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls), one text after another, and how many each has. Each
+        distinct unit of the texts is looked up once."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        odd = pc.match_substring_regex(texts, UNSAFE_ARROW)
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        flat, firsts = lists.flatten(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        head = np.zeros(len(flat), bool)
+        head[firsts] = True
+        units, heads = flat.filter(pa.array(~head)).dictionary_encode(), flat.take(pa.array(firsts)).dictionary_encode()
+        known = self._found(units.dictionary.to_pylist())
+        known += self.encode_many(heads.dictionary.to_pylist())
+        codes = np.empty(len(flat), np.int32)
+        codes[~head], codes[firsts] = units.indices.to_numpy(), heads.indices.to_numpy() + len(units.dictionary)
+        for text in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():  # its one empty unit stands for the whole text
+            codes[firsts[text]] = len(known)
+            known.append(self.encode(texts[text].as_py()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, n = np.cumsum(sizes) - sizes, sizes[codes]
+        at = np.repeat(starts[codes] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(known), "<u4")[at], np.add.reduceat(n, firsts)
+
+    def _found(self, units: list[str]) -> list[bytes]:
+        """Ids of units, each with the space before it."""
         found = list(map(self.young.get, units))
         if None in found:
             fresh = self._fresh({unit for unit, ids in zip(units, found) if ids is None})
             found = [fresh[unit] if ids is None else ids for unit, ids in zip(units, found)]
-        first = b"".join(self.encode_many([head])) if head else b""
-        return first + b"".join(found)
+        return found
 
     def _fresh(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of units that the young generation lacks.
 
-        A letter and a mark are never in one piece, so a mark at the end stands for itself.
+        A letter and a mark are never in one piece, so marks at the end stand for themselves.
         """
         fresh, marked, unseen = {}, [], {}
         for unit in missing:
             if (ids := self.old.get(unit)) is not None:
                 fresh[unit] = ids
-            elif unit[-1:] in self.marks and unit[:-1].isalpha():
-                if (ids := self.get(unit[:-1])) is not None:
-                    fresh[unit] = ids + self.marks[unit[-1]]
+            elif unit[-1:] in MARKS and (letters := unit.rstrip(MARKS)).isalpha():
+                if (ids := self.get(letters)) is not None:
+                    fresh[unit] = ids + self._marks(unit[len(letters) :])
                 else:
-                    marked.append(unit)
-                    unseen[unit[:-1]] = None
+                    marked.append((unit, letters))
+                    unseen[letters] = None
             else:
                 unseen[unit] = None
         order = list(unseen)
@@ -73,6 +108,13 @@ class UnitEncoder:
         if len(self.young) + len(fresh) > self.limit:
             self.old, self.young = self.young, {}
         self.young.update((unit, ids) for unit, ids in fresh.items() if len(unit) <= CACHE_CHARS)
-        for unit in marked:
-            fresh[unit] = fresh[unit[:-1]] + self.marks[unit[-1]]
+        for unit, letters in marked:
+            fresh[unit] = fresh[letters] + self._marks(unit[len(letters) :])
         return fresh
+
+    def _marks(self, run: str) -> bytes:
+        if (ids := self.marks.get(run)) is None:
+            (ids,) = self.encode_many([run])
+            if len(run) <= CACHE_CHARS and len(self.marks) < RUNS:
+                self.marks[run] = ids
+        return ids

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -100,3 +101,29 @@ def test_written_shards_give_every_document(spark, tmp_path, monkeypatch):
 def test_units_join_to_the_text():
     for text in ("a  b \n c ", " x", "", "a b", "  ", "q\x1c w"):
         assert " ".join(units.cut(text)) == text
+
+
+@pytest.mark.parametrize("limit", [3, units.CACHE_UNITS])
+def test_slices_are_encoded_as_their_texts(limit):
+    library = Tokenizer.from_file(JSON)
+    encoder = units.UnitEncoder(pfor.library(JSON).encode_many, limit)
+    odd = ["", " ", "a  b ", "x\n\n y", " z", "<|endoftext|> a<|endoftext|>b", "é ü　 k   m \x1c", "a \x85b", "it's 5's 12 34\t q  \n", "naïve*** naïve,*** naïve?"]
+    for texts in (odd, odd[::-1], ["the words *** of the words."] * 3, [""], []):
+        ids, sizes = encoder.encode_all(pa.array(texts, pa.string()).slice(0))
+        expected = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, expected)) and ids.tolist() == sum(expected, [])
+
+
+def test_units_unseen_are_encoded_together():
+    calls = []
+    library = pfor.library(JSON)
+
+    def encode_many(texts):
+        calls.append(len(texts))
+        return library.encode_many(texts)
+
+    encoder = units.UnitEncoder(encode_many)
+    calls.clear()
+    texts = [f"word{n % 50} and more{n} of it" for n in range(400)]
+    encoder.encode_all(pa.array(texts))
+    assert len(calls) == 2  # all units, all heads; a call for each text before
