@@ -35,7 +35,9 @@ WINDOW, ANCHOR = 35, 6
 #: Bytes of text that a task works on at a time; one text may have more.
 SLICE = 2 << 20
 #: Anchors of a shard on average; a shard of four times as many is split.
-SHARD = 16_384
+SHARD = 4096
+#: Words that go through an automaton at a time; words around one anchor may be more.
+STREAM = 1 << 16
 #: Split shards are told to all tasks up to this number, some 2 MB; beyond it they are joined.
 TOLD = 100_000
 
@@ -135,12 +137,19 @@ def _segments(texts: DataFrame, may_recur, window: int, anchor: int, size: int)
     return texts.select("text", "k1", "k2").mapInArrow(cut, SEGMENT)
 
 
+def _hits(automaton: ahocorasick.Automaton, stream: np.ndarray, first: int) -> np.ndarray:
+    """Places of all occurrences in a part of a stream that begins at `first`, and after them."""
+    return np.array([(stop - size + 1, stop + 1) for stop, size in automaton.iter(tuple(stream.tolist()))], np.int64).reshape(-1, 2) + first
+
+
 def _locate(segments: pa.Table, confirmed: pa.Table, window: int) -> pa.Table:
     """Spans of one shard, by word of the document."""
     k1, k2, start = (segments.column(c).to_numpy() for c in ("k1", "k2", "start"))
     empty = pa.table({"k1": pa.array([], pa.int64()), "k2": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "stop": pa.array([], pa.int64())})
     if not segments.num_rows or not confirmed.num_rows:
         return empty
+    one = np.sort(np.unique(np.stack([k1, k2, start], axis=1), axis=0, return_index=True)[1])  # equal texts of other slices say the same
+    segments, k1, k2, start = segments.take(pa.array(one)), k1[one], k2[one], start[one]
     w = rolling.words_of(segments.column("text").combine_chunks(), INSIDE)
     a = segments.column("a").to_numpy().view(np.uint64)
     at = np.flatnonzero(w.first[1:][w.text] - np.arange(len(w)) >= window)
@@ -158,16 +167,16 @@ def _locate(segments: pa.Table, confirmed: pa.Table, window: int) -> pa.Table:
     new = np.append(True, (np.diff(at) != 1) | (w.text[at[1:]] != w.text[at[:-1]]))
     first = np.flatnonzero(new)
     begin, end = at[first], at[np.append(first[1:], len(at)) - 1] + window
-    ids = (w.identities() + 1).tolist()
+    ids = w.identities() + 1
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for x, y in zip(begin.tolist(), end.tolist()):
-        automaton.add_word(tuple(ids[x:y]), y - x)
+        automaton.add_word(tuple(ids[x:y].tolist()), y - x)
     automaton.make_automaton()
-    stream: list[int] = []  # all texts of the shard, with a zero after each
-    for x, y in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-        stream += ids[x:y]
-        stream.append(0)
-    hits = np.array([(stop - size + 1, stop + 1) for stop, size in automaton.iter(tuple(stream))], np.int64).reshape(-1, 2)
+    stream = np.zeros(len(w) + len(k1), np.int64)  # all texts of the shard, with a zero after each
+    stream[np.arange(len(w)) + w.text] = ids
+    stops = w.first[1:] + np.arange(1, len(k1) + 1)
+    cuts = stops[np.unique(np.searchsorted(stops, np.arange(STREAM, len(stream) + STREAM, STREAM)).clip(max=len(k1) - 1))].tolist()
+    hits = np.concatenate([_hits(automaton, stream[x:y], x) for x, y in zip([0, *cuts], cuts)])
     begins = w.first[:-1] + np.arange(len(k1))
     own = np.searchsorted(begins, hits[:, 0], side="right") - 1
     spans = hits - begins[own, None] + start[own, None]
@@ -189,7 +198,7 @@ def spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, slice_by
     parts = F.ceil(F.col("n") / F.lit(4 * shard)).cast("int").alias("parts")
     large = anchors.groupBy(F.pmod("fp", F.lit(shards)).alias("bucket")).agg(F.sum("n").alias("n")).where(F.col("n") > 4 * shard).select("bucket", parts)
     large = F.broadcast(large) if large.count() <= TOLD else large
-    share = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("k1", "parts")).cast("int").alias("part")
+    share = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("k1", "start"), "parts")).cast("int").alias("part")
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part")
     segments = _segments(texts, may_recur, window, anchor, slice_bytes).select("*", bucket).join(large, "bucket", "left").select("a", "k1", "k2", "start", "text", "bucket", share)
     confirmed = spark.read.parquet(f"{folder}/windows").select("*", bucket).join(large, "bucket", "left").select("a", "fp", "bucket", every)

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Words that are compared byte by byte at a time.
+TOGETHER = 1 << 16
 #: A random odd number for every byte value.
 VALUES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
 
@@ -82,6 +84,13 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def _alike(self, plain: np.ndarray, theirs: np.ndarray, at: int) -> bool:
+        """Whether TOGETHER words from one on have the bytes of others of the same sizes."""
+        starts, other = self.starts[at : at + TOGETHER], self.starts[theirs[at : at + TOGETHER]]
+        sizes = self.stops[at : at + TOGETHER] - starts
+        ahead = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.array_equal(plain[ahead + np.repeat(starts, sizes)], plain[ahead + np.repeat(other, sizes)])
+
     def identities(self, translation: bytes | None = None) -> np.ndarray:
         """A number for each word, the same for the same (translated) bytes and for no others.
 
@@ -94,10 +103,8 @@ class Words:
         plain = np.frombuffer(data, np.uint8)
         _, rep, number = np.unique(self.hashes, return_index=True, return_inverse=True)
         sizes = self.stops - self.starts
-        ahead = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         theirs = rep[number]
-        same = np.array_equal(sizes, sizes[theirs])
-        if same and np.array_equal(plain[ahead + np.repeat(self.starts, sizes)], plain[ahead + np.repeat(self.starts[theirs], sizes)]):
+        if np.array_equal(sizes, sizes[theirs]) and all(self._alike(plain, theirs, at) for at in range(0, len(self), TOGETHER)):
             return number
         seen: dict[bytes, int] = {}
         return np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(self.starts.tolist(), self.stops.tolist())])

@@ -232,3 +232,28 @@ def test_passages_equal_brute_force(spark, window, anchor, words, shard):
     for slice_bytes in (400, repeats.SLICE):
         docs = spark.createDataFrame(rows, cases.SCHEMA)
         assert deduplicated(spark, docs, window=window, anchor=anchor, shard=shard, slice_bytes=slice_bytes) == kept_by_hand(rows, window)
+
+
+def test_a_shard_holds_little_at_a_time(spark, monkeypatch):
+    """Copies and one text that goes on and on: shards are split, and texts go by a few at a time."""
+    monkeypatch.setattr(repeats, "STREAM", 40)
+    monkeypatch.setattr(rolling, "TOGETHER", 7)
+    seen = []
+    hits = repeats._hits
+    monkeypatch.setattr(repeats, "_hits", lambda automaton, stream, first: seen.append(len(stream)) or hits(automaton, stream, first))
+    texts = ["a b c d e f g h i j " * 30] + ["k l m n o p q r s t u"] * 40 + [f"{n} k l m n o p q r s t" for n in range(40)]
+    keyed = repeats._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    table = pa.concat_tables([keyed.drop("doc_id").withColumn("a", F.lit(1).cast("long")).withColumn("start", F.lit(0).cast("long")).toArrow()] * 3)
+    slices = repeats.Slice(table.column("text").combine_chunks(), 7, 3)
+    fp, n = np.unique(slices.fp, return_counts=True)
+    confirmed = pa.table({"a": np.ones(len(fp), np.int64), "fp": rolling.signed(fp)}).filter(pa.array(n > 1))
+    found = repeats._locate(table, confirmed, 7)
+    assert max(seen) < 40 + 301 and sum(seen) == 301 + 12 + 40 * 12  # each distinct text once
+    per_text = Counter(found.column("k1").to_pylist())
+    assert len(per_text) == 42
+
+
+def test_split_shards_deal_one_text_to_several_parts(spark):
+    rows = [(1, "a b c d e f g h i j " * 300), (2, "x a b c d e f g h i j y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert deduplicated(spark, docs, window=7, anchor=3, shard=10) == kept_by_hand(rows, 7)
