@@ -11,11 +11,21 @@ from callgauge.sources.workspace import run_folder
 MOST_ROUNDS = 60
 
 
+#: Lets a command drop its shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back: a lost executor costs no earlier round."""
-    folder = run_folder(frame.sparkSession, name)
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.parquet(folder)
+    """The frame written to the shared folder and read back: a lost executor costs no earlier
+    round, and no shuffle files stay behind on the way."""
+    spark = frame.sparkSession
+    folder, before = run_folder(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(folder)
 
 
 def _state(edges: DataFrame) -> tuple:

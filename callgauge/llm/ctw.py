@@ -30,8 +30,8 @@ from callgauge.llm.components import stored
 DEPTH = 5
 #: A word of this share of the training tokens is sent to the tasks, so at most 2**20 are.
 WORD_SHARE = 2.0**-20
-#: What a gram of this share of all bytes is told with is sent to the tasks; at most 2**20 are.
-GRAM_SHARE = 2.0**-20
+#: What a gram of this share of all bytes is told with is sent to the tasks; at most 2**22 are, 64 MB.
+GRAM_SHARE = 2.0**-22
 EDGE = 0xFF
 #: OTHER are the grams of texts that teach nothing.
 DOCS, WORD, GRAM, OTHER = 0, 1, 2, 3
