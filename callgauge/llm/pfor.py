@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -207,10 +208,10 @@ def library(path: str) -> units.UnitEncoder:
         """Units, each with the space before it, encoded as one text and cut by the bytes of the
         tokens; None if they are no such units."""
         text = "".join(texts)
-        if len(texts) < 2 or not all(x.startswith(" ") for x in texts) or units.UNSAFE.search(text):
+        if len(texts) < 2 or not all(map(str.startswith, texts, repeat(" "))) or units.UNSAFE.search(text):
             return None
         (ids,) = ids_of([text])
-        ends, wanted = np.cumsum(widths[ids]), np.cumsum([len(x.encode()) for x in texts])
+        ends, wanted = np.cumsum(widths[ids]), np.cumsum(list(map(len, texts if text.isascii() else map(str.encode, texts))))
         stops = np.searchsorted(ends, wanted) + 1
         if not len(ends) or ends[-1] != wanted[-1] or not np.array_equal(ends[stops - 1], wanted):
             return None

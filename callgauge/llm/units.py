@@ -30,6 +30,11 @@ def cut(text: str) -> list[str]:
     return SAFE_SPACE.split(text) if UNSAFE.search(text) else text.split(" ")
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """to_pylist for strings without nulls, at once."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class UnitEncoder:
     """encode_many: texts to ids, each as little-endian unsigned 32-bit integers.
 
@@ -65,8 +70,8 @@ class UnitEncoder:
         head = np.zeros(len(flat), bool)
         head[firsts] = True
         units, heads = flat.filter(pa.array(~head)).dictionary_encode(), flat.take(pa.array(firsts)).dictionary_encode()
-        known = self._found(units.dictionary.to_pylist())
-        known += self.encode_many(heads.dictionary.to_pylist())
+        known = self._found(_strings(units.dictionary))
+        known += self.encode_many(_strings(heads.dictionary))
         codes = np.empty(len(flat), np.int32)
         codes[~head], codes[firsts] = units.indices.to_numpy(), heads.indices.to_numpy() + len(units.dictionary)
         for text in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():  # its one empty unit stands for the whole text
@@ -74,27 +79,35 @@ class UnitEncoder:
             known.append(self.encode(texts[text].as_py()))
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts, n = np.cumsum(sizes) - sizes, sizes[codes]
-        at = np.repeat(starts[codes] - (np.cumsum(n) - n), n)
-        at += np.arange(len(at))
+        shift = starts[codes] - (np.cumsum(n) - n)
+        if n.sum() < 2**31 and sizes.sum() < 2**31:
+            shift = shift.astype(np.int32)
+        at = np.repeat(shift, n)
+        at += np.arange(len(at), dtype=at.dtype)
         return np.frombuffer(b"".join(known), "<u4")[at], np.add.reduceat(n, firsts)
 
     def _found(self, units: list[str]) -> list[bytes]:
         """Ids of units, each with the space before it."""
         found = list(map(self.young.get, units))
         if None in found:
-            fresh = self._fresh({unit for unit, ids in zip(units, found) if ids is None})
-            found = [fresh[unit] if ids is None else ids for unit, ids in zip(units, found)]
+            gaps = [at for at, ids in enumerate(found) if ids is None]
+            missing = [units[at] for at in gaps]
+            fresh = self._fresh(dict.fromkeys(missing))
+            for at, unit in zip(gaps, missing):
+                found[at] = fresh[unit]
         return found
 
-    def _fresh(self, missing: set[str]) -> dict[str, bytes]:
+    def _fresh(self, missing: Iterable[str]) -> dict[str, bytes]:
         """Ids of units that the young generation lacks.
 
         A letter and a mark are never in one piece, so marks at the end stand for themselves.
         """
-        fresh, marked, unseen = {}, [], {}
+        fresh, marked, unseen, old = {}, [], {}, self.old
         for unit in missing:
-            if (ids := self.old.get(unit)) is not None:
-                fresh[unit] = ids
+            if unit in old:
+                fresh[unit] = old[unit]
+            elif unit.isalpha():
+                unseen[unit] = None
             elif unit[-1:] in MARKS and (letters := unit.rstrip(MARKS)).isalpha():
                 if (ids := self.get(letters)) is not None:
                     fresh[unit] = ids + self._marks(unit[len(letters) :])
@@ -107,7 +120,10 @@ class UnitEncoder:
         fresh.update(zip(order, self.encode_many([" " + unit for unit in order])))
         if len(self.young) + len(fresh) > self.limit:
             self.old, self.young = self.young, {}
-        self.young.update((unit, ids) for unit, ids in fresh.items() if len(unit) <= CACHE_CHARS)
+        self.young.update(fresh)
+        for unit in fresh:
+            if len(unit) > CACHE_CHARS:
+                del self.young[unit]
         for unit, letters in marked:
             fresh[unit] = fresh[letters] + self._marks(unit[len(letters) :])
         return fresh

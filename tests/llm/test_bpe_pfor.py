@@ -127,3 +127,16 @@ def test_units_unseen_are_encoded_together():
     texts = [f"word{n % 50} and more{n} of it" for n in range(400)]
     encoder.encode_all(pa.array(texts))
     assert len(calls) == 2  # all units, all heads; a call for each text before
+
+
+def test_cached_units_are_the_texts_ids():
+    """Units met before, new ones, marks after letters, long units and characters beyond ASCII,
+    over slices between which the cache turns over."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder = pfor.Tokenizer.from_file(path), units.UnitEncoder(pfor.library(path).encode_many, limit=6)
+    texts = ["the thing, the thing.", "", "x" * 90 + " thing, thing " + "x" * 90 + "!!", "d\u00fcng, 12 d\u00fcng!? \U0001f600 the", "two  spaces end ", "the"]
+    for part in (texts, texts[::-1], texts[2:4]):
+        ids, sizes = encoder.encode_all(pa.array(part))
+        want = [plain.encode(text, add_special_tokens=False).ids for text in part]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for own in want for x in own]
+        assert all(len(unit) <= units.CACHE_CHARS for unit in encoder.young)
