@@ -122,8 +122,9 @@ def _counted(texts: DataFrame, size: int, filters: list, slice_bytes: int) -> Da
 
 
 def _materialise(texts: DataFrame, filters: list, longest: int, slice_bytes: int) -> DataFrame:
-    """Phrases that may be frequent, with their counts in a slice and a pointer to the first
-    occurrence; k = 0 counts all words."""
+    """Phrases that may be frequent, with their counts in a task and a pointer to the first
+    occurrence; k = 0 counts all words. A task hands on most of the phrases, so there is one
+    a core: the rows grow with the phrases then, not with phrases times input."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, held = [f.value for f in filters], _Held()
@@ -147,7 +148,8 @@ def _materialise(texts: DataFrame, filters: list, longest: int, slice_bytes: int
                 yield held.hand_on()
         yield held.hand_on()
 
-    return texts.mapInArrow(read, "lang string, k int, phrase binary, n long, doc_id long, word long")
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(cores).mapInArrow(read, "lang string, k int, phrase binary, n long, doc_id long, word long")
 
 
 class _Held:

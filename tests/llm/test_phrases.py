@@ -257,3 +257,14 @@ def test_split_shards_deal_one_text_to_several_parts(spark):
     rows = [(1, "a b c d e f g h i j " * 300), (2, "x a b c d e f g h i j y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert deduplicated(spark, docs, window=7, anchor=3, shard=10) == kept_by_hand(rows, 7)
+
+
+def test_phrases_are_handed_on_once_a_core(spark):
+    """However many parts the texts come in, a frequent phrase makes a row a core at most."""
+    docs = spark.createDataFrame([(n, "one two three.", "aa") for n in range(200)], "doc_id long, text string, lang string").repartition(40)
+    every = np.full(1, -1, np.int64).view(np.uint64).repeat(1 << 10)
+    filters = [spark.sparkContext.broadcast(every) for _ in range(collocations.COUNTED)]
+    found = collocations._materialise(collocations._texts(docs), filters, 2, collocations.SLICE)
+    rows = {(r.k, bytes(r.phrase)): (r.rows, r.f) for r in found.groupBy("k", "phrase").agg(F.count("*").alias("rows"), F.sum("n").alias("f")).collect()}
+    assert rows[2, b"one two"][1] == 200 and rows[0, b""][1] == 600
+    assert max(n for n, _ in rows.values()) <= spark.sparkContext.defaultParallelism
