@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.operators.fold import fold_calls
 from callgauge.operators.frames import CHUNK_COLUMNS
 from callgauge.sources.sinks import write_batch
+from callgauge.streaming import openchunks, snapshots
 from callgauge.streaming.ingest import DRAIN, Trigger
 from callgauge.streaming.lookup import referenced
-from callgauge.streaming.openchunks import PROVIDER, PROVIDER_KEY, closed_chunks, unpacked
 
 Calls = Callable[[SparkSession], DataFrame]
 
@@ -24,19 +23,9 @@ BUCKETS = 64
 WAITING = -1
 
 
-@contextmanager
-def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The provider that keyed state needs, for what is started or read inside."""
-    before = spark.conf.get(PROVIDER_KEY, None)
-    spark.conf.set(PROVIDER_KEY, PROVIDER)
-    try:
-        yield
-    finally:
-        spark.conf.set(PROVIDER_KEY, before) if before else spark.conf.unset(PROVIDER_KEY)
-
-
-def _ms(spark: SparkSession, interval: str) -> int:
-    return int(spark.sql(f"select unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {interval})").first()[0])
+def _interval(spark: SparkSession, length: str) -> Column:
+    ms = spark.sql(f"select unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {length})").first()[0]
+    return F.make_dt_interval(secs=(F.lit(int(ms)) / 1000).cast("decimal(18,6)"))
 
 
 def _bucket():
@@ -64,46 +53,59 @@ def start_fold(
 ) -> StreamingQuery:
     """Fold each call once it has been quiet for ``quiet`` of event time.
 
-    Chunks wait in keyed state of the state store, by call and block of sequence numbers, and
-    leave it when their block is quiet; a batch reads the chunks it brings and those it gives
-    out, whatever came before. Given-out chunks are written once, to the chunk table. If a
-    call has had chunks given out before (late ones came, or it has several blocks), it is
-    folded anew from all of its chunks, which are looked up in the folders of these calls;
-    readers take the rows of a call's latest folding. So files may come in any order. That
-    chunks were given out is remembered for ``remember`` of event time; a chunk later than
-    that is folded alone. Folding is joins and groupings over blocks of chunks, as in the
-    batch fold.
+    Chunks wait in a table beside the checkpoint, by call and block of sequence numbers, and
+    leave it when their block is quiet; a batch reads the chunks it brings, those that wait
+    and the marks of blocks given out before. Given-out chunks are written once, to the chunk
+    table. If a call has had chunks given out before (late ones came, or it has several
+    blocks), it is folded anew from all of its chunks, which are looked up in the folders of
+    these calls; readers take the rows of a call's latest folding. So files may come in any
+    order. That chunks were given out is remembered for ``remember`` of event time; a chunk
+    later than that is folded alone. A batch that is run again starts from what waited before
+    it and replaces its own output. Folding is joins and groupings over blocks of chunks, as
+    in the batch fold.
     """
-    session = chunks.sparkSession
+    session, state = chunks.sparkSession, openchunks.folder_of(checkpoint)
+    quiet_for, remembered = _interval(session, quiet), _interval(session, remember)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        packed = unpacked(batch, "block", "again").withColumn("bucket", _bucket())
-        write_batch(packed, f"{path}/chunks", batch_id, "bucket", order="call_id")
-        arrived = spark.read.schema(packed.schema).parquet(f"{path}/chunks/batch_id={batch_id}")
-        several = arrived.filter("block > 0").select("call_id").distinct()
+        taken = openchunks.taken(batch).persist()
+        before, marks = snapshots.previous(spark, state, batch_id), None
+        times = [openchunks.newest(taken)]
+        if before is not None:
+            times.append(openchunks.newest(before))
+            given = spark.read.parquet(f"{path}/given").filter(F.col("batch_id") < batch_id)
+            marks = given.filter(F.col("until") > openchunks.moment(times[-1]))
+        now = max(filter(None, times), default=None)
+        rows = openchunks.marked(taken, marks)
+        if before is not None:
+            rows = before.unionByName(rows)
+        quiet_now = openchunks.quiet_blocks(rows, now, quiet_for).withColumn("until", openchunks.moment(now) + remembered)
+        write_batch(quiet_now, f"{path}/given", batch_id)
+        closed = spark.read.schema(quiet_now.schema).parquet(f"{path}/given/batch_id={batch_id}")
+        out = openchunks.of_blocks(rows, closed, "left_semi").withColumn("bucket", _bucket())
+        write_batch(out, f"{path}/chunks", batch_id, "bucket", order="call_id")
+        arrived = spark.read.schema(out.schema).parquet(f"{path}/chunks/batch_id={batch_id}")
+        several = closed.filter("block > 0").select("call_id").distinct()
         if batch_id == 0 or not several.isEmpty():
             write_batch(several, f"{path}/long", batch_id)
         known = spark.read.parquet(f"{path}/long").select("call_id")
-        again = arrived.filter("again").select("call_id").unionByName(known.join(arrived, "call_id", "left_semi")).distinct()
-        rows = arrived.select(*CHUNK_COLUMNS)
+        again = closed.filter("again").select("call_id").unionByName(known.join(closed, "call_id", "left_semi")).distinct()
+        folding = arrived.select(*CHUNK_COLUMNS)
         if not again.isEmpty():
-            rows = rows.unionByName(_given_before(spark, path, again, batch_id))
-        table = referenced(calls(spark), "call_id", arrived.select("call_id").distinct(), "call_id")
-        write_batch(fold_calls(table, rows), f"{path}/logs", batch_id)
+            folding = folding.unionByName(_given_before(spark, path, again, batch_id))
+        table = referenced(calls(spark), "call_id", closed, "call_id")
+        write_batch(fold_calls(table, folding), f"{path}/logs", batch_id)
+        snapshots.save(openchunks.of_blocks(rows, closed, "left_anti"), state, batch_id)
+        taken.unpersist()
 
-    closed = closed_chunks(chunks, _ms(session, quiet), _ms(session, remember))
-    writer = closed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    with _state_in_rocksdb(session):
-        return writer.trigger(**trigger).start()
+    writer = chunks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
 
 
 def open_chunks(spark: SparkSession, checkpoint: str, path: str) -> DataFrame:
-    """Chunks that wait in the state of a stream that has stopped, written to ``path``."""
-    with _state_in_rocksdb(spark):
-        held = spark.read.format("statestore").option("stateVarName", "chunks").load(checkpoint)
-        rows = held.select("key.call_id", "key.block", "list_element.*", F.lit(False).alias("again"))
-        unpacked(rows, "block", "again").write.mode("overwrite").parquet(path)
+    """Chunks that wait in the table of a stream that has stopped, written to ``path``."""
+    snapshots.latest(spark, openchunks.folder_of(checkpoint)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).select(*CHUNK_COLUMNS)
 
 

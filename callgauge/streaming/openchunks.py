@@ -1,104 +1,58 @@
-"""Keyed state of calls that are still streaming: their chunks, in the state store.
+"""Chunks of calls that are still streaming, kept as a table between micro-batches.
 
-One state per call and block of sequence numbers, so that no task holds a whole huge call.
-A state gives its chunks out once its call has been quiet for a while of event time, and then
-keeps no more than a mark that it did, until that is forgotten too.
+They wait by call and block of sequence numbers, so that no task holds a whole huge call. A
+block's chunks are given out once it has been quiet for a while of event time; what remains
+is a mark that it was, until that is forgotten too. All of it is joins and groupings: a call
+costs no more than its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callgauge.operators.ordered import block_of
+from callgauge.streaming.lookup import referenced
+
+BLOCK = ("call_id", "block")
+TYPES = {"seq": "bigint", "ts": "timestamp_ntz", "type": "string", "content": "string", "input_tokens": "int", "output_tokens": "int", "error_msg": "string"}
+
+
+def moment(at: str | None) -> Column:
+    return F.lit(at).cast("timestamp_ntz")
+
+
+def newest(chunks: DataFrame) -> str | None:
+    """Time of the newest chunk, as text. Of waiting chunks it is that of all chunks so far, as
+    a block isn't quiet at its own newest chunk."""
+    return chunks.agg(F.max("ts").cast("string")).first()[0]
+
+
+def taken(batch: DataFrame) -> DataFrame:
+    """Chunks of a micro-batch by block; columns beyond those of a chunk are left out."""
+    return batch.select("call_id", block_of("seq").cast("bigint").alias("block"), *[F.col(name).cast(kind).alias(name) for name, kind in TYPES.items()])
+
+
+def marked(chunks: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """``again``: whether chunks of the block were given out before, which ``marks`` tells."""
+    if marks is None:
+        return chunks.withColumn("again", F.lit(False))
+    met = referenced(marks, "call_id", chunks, "call_id").select(*BLOCK).distinct().withColumn("again", F.lit(True))
+    return chunks.join(met, list(BLOCK), "left").withColumn("again", F.coalesce("again", F.lit(False)))
+
+
+def quiet_blocks(chunks: DataFrame, at: str | None, quiet: Column) -> DataFrame:
+    """Blocks whose newest chunk is older than ``at`` by more than ``quiet``, or has no time."""
+    blocks = chunks.groupBy(*BLOCK).agg(F.max("ts").alias("last"), F.max("again").alias("again"))
+    return blocks.filter(F.coalesce(F.col("last") < moment(at) - quiet, F.lit(True))).drop("last")
+
+
+def of_blocks(chunks: DataFrame, blocks: DataFrame, how: str) -> DataFrame:
+    """Chunks in these blocks (``left_semi``) or in no such block (``left_anti``)."""
+    keys = blocks.select(F.col("call_id").alias("_call"), F.col("block").alias("_block"))
+    return chunks.join(keys, F.col("call_id").eqNullSafe(F.col("_call")) & F.col("block").eqNullSafe(F.col("_block")), how)
+
 
-PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A chunk in flight. ``body`` is what the fold needs of it, as JSON; ``at`` counts microseconds.
-CHUNK = "seq bigint, at bigint, body string"
-BODY = "type string, content string, input_tokens int, output_tokens int, error_msg string"
-CLOSED = f"call_id {{key}}, block bigint, {CHUNK}, again boolean"
-BATCH = 10_000
-
-
-class OpenChunks(StatefulProcessor):
-    """Collects the chunks of a key; gives them out when a timer says that it is quiet."""
-
-    def __init__(self, quiet_ms: int, remember_ms: int):
-        self.quiet_ms, self.remember_ms = quiet_ms, remember_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.chunks = handle.getListState("chunks", CHUNK)
-        self.clock = handle.getValueState("clock", "last_ms bigint, timer_ms bigint, given boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, timer, given = self.clock.get() or (None, None, False)
-        for batch in rows:
-            self.chunks.appendList([(int(s), int(a), b) for s, a, b in zip(batch["seq"], batch["at"], batch["body"])])
-            newest = int(batch["at"].max()) // 1000
-            last = newest if last is None else max(last, newest)
-        due = last + self.quiet_ms
-        if timer != due:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        self.clock.update((last, due, given))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, timer, given = self.clock.get()
-        if expiredTimerInfo.getExpiryTimeInMs() != timer:
-            return
-        held: list = []
-        any_held = False
-        for chunk in self.chunks.get():
-            any_held = True
-            held.append((*key, *chunk, given))
-            if len(held) >= BATCH:
-                yield self._frame(held)
-                held = []
-        if held:
-            yield self._frame(held)
-        if any_held:
-            self.chunks.clear()
-            forget = max(last, timerValues.getCurrentWatermarkInMs()) + self.remember_ms
-            self.handle.registerTimer(forget)
-            self.clock.update((last, forget, True))
-        else:
-            self.clock.clear()
-
-    def _frame(self, held: list) -> pd.DataFrame:
-        return pd.DataFrame(held, columns=["call_id", "block", "seq", "at", "body", "again"])
-
-    def close(self) -> None:
-        pass
-
-
-def closed_chunks(chunks: DataFrame, quiet_ms: int, remember_ms: int) -> DataFrame:
-    """Chunks of a stream, given out block by block once no chunk of the block has come for a while.
-
-    The stream's watermark is the newest chunk. Late chunks are taken as they come: the
-    column that the watermark is on doesn't reach the state, so nothing is dropped for it.
-    """
-    watched = chunks.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", "0 seconds")
-    rows = watched.select(
-        "call_id",
-        block_of("seq").alias("block"),
-        "seq",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-        F.to_json(F.struct("type", "content", "input_tokens", "output_tokens", "error_msg")).alias("body"),
-    )
-    schema = CLOSED.format(key=chunks.schema["call_id"].dataType.simpleString())
-    return rows.groupBy("call_id", "block").transformWithStateInPandas(OpenChunks(quiet_ms, remember_ms), schema, "append", "EventTime")
-
-
-def unpacked(rows: DataFrame, *more: str) -> DataFrame:
-    """Chunk rows as the fold takes them."""
-    at = F.timestamp_micros("at").cast("timestamp_ntz").alias("ts")
-    body = rows.withColumn("_b", F.from_json("body", BODY))
-    return body.select("call_id", "seq", at, "_b.type", "_b.content", "_b.input_tokens", "_b.output_tokens", "_b.error_msg", *more)
+def folder_of(checkpoint: str) -> str:
+    """Where the chunks that wait are kept, beside what Spark keeps of the stream."""
+    return f"{checkpoint}/waiting"

@@ -77,3 +77,20 @@ def test_a_call_with_very_many_ends_is_linear(spark):
     longest = found.agg(F.max(F.length("text")), F.count("*")).first()
     assert longest[0] < 1100 and longest[1] == 50_000
     assert fold.call_replies(chunks).select(F.length("reply")).first()[0] == sum(len(f"word{k} and more ") for k in range(0, 100_000, 2))
+
+
+def test_waiting_calls_need_no_python(spark, tmp_path):
+    """Ten thousand calls of one batch: no state operator and no Python is in the plan."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(10_000).selectExpr(
+        "id as call_id", "0L as seq", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int)) as ts", "'done' as type",
+        "cast(null as string) as content", "1 as input_tokens", "1 as output_tokens", "cast(null as string) as error_msg",
+    )
+    written(rows, source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    query = call_stream.start_fold(stream, calls, path, f"{path}/checkpoint")
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "Python" not in plan and "Pandas" not in plan and not query.lastProgress.stateOperators
+    given, waiting = spark.read.parquet(f"{path}/chunks"), call_stream.open_chunks(spark, f"{path}/checkpoint", f"{path}/open")
+    assert (given.count(), waiting.count()) == (10_000 - 31, 31)
