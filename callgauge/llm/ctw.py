@@ -35,8 +35,10 @@ GRAM_SHARE = 2.0**-22
 EDGE = 0xFF
 #: OTHER are the grams of texts that teach nothing.
 DOCS, WORD, GRAM, OTHER = 0, 1, 2, 3
-#: Distinct counts that a task holds before it hands them on.
-HELD = 1_500_000
+#: Distinct counts that a task holds before it hands them on, and new ones that wait to be added to them.
+HELD, WAITING = 1_500_000, 500_000
+#: Bytes of text that a task works on at a time, unless one text has more: its grams are arrays of 64 bits.
+SLICE = 1 << 20
 #: Binary nodes that are weighed together.
 COLUMNS = 32
 
@@ -59,9 +61,12 @@ def framed(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def grams(raws: list[bytes]) -> np.ndarray:
     """The DEPTH bytes before and the byte itself, the oldest highest, of every byte to tell."""
     data, places, _ = framed(raws)
+    places -= DEPTH
     key = np.zeros(len(places), dtype=np.int64)
-    for back in range(DEPTH, -1, -1):
-        key = (key << 8) | data[places - back]
+    for _ in range(DEPTH + 1):
+        key <<= 8
+        key |= data[places]
+        places += 1
     return key
 
 
@@ -72,31 +77,50 @@ def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+class _Counts:
+    """Counts by key; new ones are added up many at a time."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, found: np.ndarray) -> None:
+        self.waiting.append(np.unique(found, return_counts=True))
+        if sum(len(keys) for keys, _ in self.waiting) >= WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        parts, self.waiting = [(self.keys, self.n), *self.waiting], []
+        self.keys, self.n = _sum(np.concatenate([keys for keys, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
 def counts(docs: DataFrame, learn: Column) -> DataFrame:
     """kind, key, n: how many texts there are for which learn holds, how often each word (by a
     64-bit hash) and each gram occurs in them, and each gram in the others. Counted in the
     tasks first, then by key."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {kind: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for kind in (WORD, GRAM, OTHER)}
+        held = {kind: _Counts() for kind in (WORD, GRAM, OTHER)}
         texts = 0
 
         def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys), "n": pa.array(n)})
 
-        for batch in rows.slices(batches, size=4 << 20):
+        for batch in rows.slices(batches, size=SLICE):
             raws = [(raw or b"").lower() for raw in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
             own = batch.column("learn").to_pylist()
             raws, others = [raw for raw, x in zip(raws, own) if x], [raw for raw, x in zip(raws, own) if not x]
             texts += len(raws)
-            for kind, found in ((WORD, hashed([word for raw in raws for word in raw.split()])), (GRAM, grams(raws)), (OTHER, grams(others))):
-                keys, n = np.unique(found, return_counts=True)
-                held[kind] = _sum(np.concatenate([held[kind][0], keys]), np.concatenate([held[kind][1], n]))
-                if len(held[kind][0]) >= HELD:
-                    yield out(kind, *held[kind])
-                    held[kind] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for kind, (keys, n) in held.items():
-            yield out(kind, keys, n)
+            held[WORD].add(hashed([word for raw in raws for word in raw.split()]))
+            held[GRAM].add(grams(raws))
+            held[OTHER].add(grams(others))
+            for kind, some in held.items():
+                if len(some.keys) >= HELD:
+                    yield out(kind, some.keys, some.n)
+                    some.keys, some.n = some.keys[:0].copy(), some.n[:0].copy()
+        for kind, some in held.items():
+            some.settle()
+            yield out(kind, some.keys, some.n)
         yield out(DOCS, np.zeros(1, np.int64), np.array([texts], np.int64))
 
     marked = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
@@ -296,7 +320,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs, common, tells, end_log, end_known = sent.value
         row = TaskContext.get().partitionId() << 33
-        for batch in rows.slices(batches, size=2 << 20):
+        for batch in rows.slices(batches, size=SLICE):
             raws = [(raw or b"").lower() for raw in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
             split = [raw.split() for raw in raws]
             sizes = np.array([len(x) for x in split], dtype=np.int64)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm import cases
 from pyspark.sql import functions as F
@@ -331,3 +333,33 @@ def test_very_many_texts_of_one_id(spark, doc_id):
     assert bagminhash._vectors(docs, wanted).count() == 300
     assert bagminhash.duplicates(docs).where("class_size = 3").count() == 450
     assert bagminhash.keep_one(docs).count() == 150
+
+
+def test_counts_take_little_memory(spark):
+    """4 MB of text at once: counts right, and arrays of a slice alone, not of the whole batch."""
+    raw = np.random.default_rng(3).integers(97, 123, 1 << 22, dtype=np.uint8)
+    raw[::7] = 32
+    texts = [raw[at : at + (1 << 18)].tobytes().decode() for at in range(0, len(raw), 1 << 18)]
+
+    class Docs:
+        def mapInArrow(self, work, schema):
+            self.work = work
+            return self
+
+        select = groupBy = agg = lambda self, *columns: self
+
+    docs, batch = Docs(), pa.RecordBatch.from_pydict({"text": texts, "learn": [n % 4 > 0 for n in range(len(texts))]})
+    ctw.counts(docs, F.lit(True))
+    tracemalloc.start()
+    parts = list(docs.work(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = {}
+    for part in parts:
+        for kind, n in zip(part.column("kind").to_pylist(), part.column("n").to_pylist()):
+            found[kind] = found.get(kind, 0) + n
+    assert found[ctw.GRAM] == sum(len(text) + 1 for n, text in enumerate(texts) if n % 4)
+    assert found[ctw.OTHER] == sum(len(text) + 1 for n, text in enumerate(texts) if n % 4 == 0)
+    assert found[ctw.WORD] == sum(len(text.split()) for n, text in enumerate(texts) if n % 4)
+    print("peak", peak >> 20)
+    assert peak < 200 << 20
