@@ -50,10 +50,14 @@ SHARD_IDS = 262_144
 END_ID = 0
 #: Units unseen so far that are encoded as one text.
 TOGETHER = 2000
+#: Bits of the values that two bytes hold.
+SMALL_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs; exact, as float64 holds all 32-bit integers."""
+    if values.max(initial=0) < len(SMALL_BITS):
+        return SMALL_BITS[values]
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
@@ -83,7 +87,8 @@ def _body(ids: np.ndarray, length: int, share: float) -> tuple[np.ndarray, np.nd
     low = blocks.min(axis=1)
     above = blocks - low[:, None]
     needed = _bits(above)
-    width = np.sort(needed, axis=1)[:, min(length - 1, int(np.ceil(share * length)) - 1)].astype(np.int64)
+    rank = min(length - 1, int(np.ceil(share * length)) - 1)
+    width = np.partition(needed, rank, axis=1)[:, rank].astype(np.int64)
     over = needed > width[:, None]
     exceptions = over.sum(axis=1)
     packed_size = (width * length + 7) // 8
@@ -205,10 +210,10 @@ def library(path: str) -> units.UnitEncoder:
             yield from together(some) or map(np.ndarray.tobytes, ids_of(some))
 
     def together(texts: list[str]) -> list[bytes] | None:
-        """Units, each with the space before it, encoded as one text and cut by the bytes of the
-        tokens; None if they are no such units."""
+        """Units, each with the space or line end before it, encoded as one text and cut by the
+        bytes of the tokens; None if they are no such units."""
         text = "".join(texts)
-        if len(texts) < 2 or not all(map(str.startswith, texts, repeat(" "))) or units.UNSAFE.search(text):
+        if len(texts) < 2 or not all(map(str.startswith, texts, repeat((" ", "\n")))) or units.UNSAFE.search(text):
             return None
         (ids,) = ids_of([text])
         ends, wanted = np.cumsum(widths[ids]), np.cumsum(list(map(len, texts if text.isascii() else map(str.encode, texts))))
@@ -218,7 +223,10 @@ def library(path: str) -> units.UnitEncoder:
         data = ids.tobytes()
         return [data[4 * x : 4 * y] for x, y in zip([0, *stops.tolist()], stops.tolist())]
 
-    return units.UnitEncoder(encode_many)
+    def pieces(text: str) -> int:
+        return len(tokenizer.pre_tokenizer.pre_tokenize_str(text)) if tokenizer.pre_tokenizer else 1
+
+    return units.UnitEncoder(encode_many, line_ends=all(pieces(f"{x}\n{y}") == 3 for x in "a1." for y in "a1."))
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> None:

@@ -13,7 +13,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm import cases
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from callgauge.llm import bpe, pfor, units
 
@@ -140,3 +140,55 @@ def test_cached_units_are_the_texts_ids():
         want = [plain.encode(text, add_special_tokens=False).ids for text in part]
         assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for own in want for x in own]
         assert all(len(unit) <= units.CACHE_CHARS for unit in encoder.young)
+
+
+def test_units_met_before_stay_out_of_python(monkeypatch):
+    seen, strings = [], units._strings
+    monkeypatch.setattr(units, "_strings", lambda column: seen.append(len(column)) or strings(column))
+    encoder = units.UnitEncoder(pfor.library(JSON).encode_many)
+    texts = pa.array([f"word{n} and, more{n}.\nSo it, went{n}" for n in range(400)])
+    first = encoder.encode_all(texts)
+    seen.clear()
+    again = encoder.encode_all(texts)
+    assert sum(seen) < 410  # heads and runs of marks; all distinct units before
+    assert all(np.array_equal(a, b) for a, b in zip(first, again))
+
+
+def test_a_line_end_cuts_what_is_kept():
+    encoder = units.UnitEncoder(pfor.library(JSON).encode_many, line_ends=pfor.library(JSON).line_ends)
+    encoder.encode_all(pa.array(["The one.\nThe two,\nthe end", "The\n\nsame \n\x85\nlines"]))
+    kept = [unit for page in encoder.pages for unit in page.units.to_pylist()]
+    assert {"one", "\nThe", "two", "\nthe", "end"} <= set(kept) and "one.\nThe" not in kept
+
+
+@pytest.mark.parametrize("limit", [2, 20, units.CACHE_UNITS])
+def test_kept_pages_give_the_librarys_ids(limit):
+    library, draw = Tokenizer.from_file(JSON), random.Random(limit)
+    encoder = units.UnitEncoder(pfor.library(JSON).encode_many, limit, line_ends=True)
+    parts = [*PARTS, "\n", ".\nThe ", "\nThe", " of.\n", " the", "\n\n", "　", "  ", "<|endoftext|>", ">", "x" * 70]
+    for _ in range(60):
+        texts = ["".join(draw.choices(parts, k=draw.randrange(40))) for _ in range(draw.choice([0, 1, 20]))]
+        ids, sizes = encoder.encode_all(pa.array(["cut off", *texts], pa.string()).slice(1))
+        want = [found.ids for found in library.encode_batch(texts, add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+        assert sum(len(page.units) for page in encoder.pages) <= 2 * limit
+        assert all(len(unit) <= units.CACHE_CHARS for page in encoder.pages for unit in page.units.to_pylist())
+
+
+def test_what_is_used_again_stays_kept():
+    encoder = units.UnitEncoder(pfor.library(JSON).encode_many, limit=10)
+    for n in range(30):
+        encoder.encode_all(pa.array([f"a often w{n} x{n} y{n}"]))
+    kept = [unit for page in encoder.pages for unit in page.units.to_pylist()]
+    assert "often" in kept and "w0" not in kept
+
+
+def test_a_pattern_that_takes_line_ends_along_keeps_them(tmp_path):
+    tokenizer, path = Tokenizer.from_file(JSON), str(tmp_path / "own.json")
+    pattern = Regex(r" ?[^\s\p{L}\p{N}]+[\r\n]*| ?\p{L}+| ?\p{N}+|\s+(?!\S)|\s+")
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(pattern, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tokenizer.save(path)
+    texts = ["So it is;\n}\nand so", "{\n{ it.\nThe end"]
+    ids, _ = pfor.library(path).encode_all(pa.array(texts))
+    assert ids.tolist() == sum((x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)), [])
+    assert pfor.library(JSON).line_ends and not pfor.library(path).line_ends
